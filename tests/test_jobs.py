@@ -1,0 +1,29 @@
+import pytest
+from compare import duck, same
+
+from sparrowmill import jobs
+from sparrowmill.operators import sessions, top_per_key
+from sparrowmill.streaming import windowed_events
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", jobs.QUERIES)
+def test_against_sql(spark, name):
+    same(jobs.QUERIES[name](spark, SF), duck(SF), jobs.ORACLE_SQL[name])
+
+
+def test_sessions_ties_and_nulls(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00', 1), (1, timestamp'2024-01-01 00:00:00', 2), (1, timestamp'2024-01-03 00:00:01', 3), (null, timestamp'2024-01-01 00:00:00', 4) t(u, ts, i)")
+    assert {r.i: r.session for r in sessions(df, "u", "ts", "i", 86_400).collect()} == {1: 1, 2: 1, 3: 2, 4: 1}
+    assert top_per_key(df, ["u"], [df.ts, df.i], 1).count() == 2
+
+
+def test_stream_matches_batch_on_closed_windows(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{SF}/events.parque[t]")
+    query = windowed_events(stream).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).start()
+    query.awaitTermination(120)
+    got, batch = {tuple(r) for r in spark.table("w").collect()}, {tuple(r) for r in windowed_events(events).collect()}
+    last = max(r[0] for r in batch)
+    assert got == {r for r in batch if r[0] < last}
