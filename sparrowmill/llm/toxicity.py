@@ -27,19 +27,21 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         n = {}
         for text, label in zip(b["_text"], b["label"], strict=True):
-            for token in TOKEN.findall((text or "").lower()):
+            for token in set(TOKEN.findall((text or "").lower())):
                 n[token, label] = n.get((token, label), 0) + 1
         yield pd.DataFrame([(bucket(t), int(label), c) for (t, label), c in n.items()], columns=["bucket", "label", "n"])
 
 
-def log_odds(counts: pd.DataFrame, prior: float = 200.0, drift: float = 0.5, most: float = 6.0) -> np.ndarray:
+def log_odds(counts: pd.DataFrame, prior: float = 3.0, drift: float = 0.2, most: float = 6.0) -> np.ndarray:
     """Per bucket, the log odds of toxic against other text under a Dirichlet
-    prior of ``prior`` tokens shaped like both together, less ``drift``, which
-    makes the expected score of a token negative."""
+    prior of ``prior`` tokens a bucket, dealt to the two as their totals are, so
+    that an unseen token scores 0; less ``drift``, which makes the expected
+    score of a token negative."""
     n = np.zeros((2, BUCKETS))
     np.add.at(n, (counts["label"].to_numpy(int), counts["bucket"].to_numpy(int)), counts["n"].to_numpy(float))
-    share = (n.sum(axis=0) + 1e-3) / (n.sum() + 1e-3 * BUCKETS)
-    rate = np.log((n + prior * share) / (n.sum(axis=1, keepdims=True) + prior))
+    part = np.maximum(n.sum(axis=1, keepdims=True), 1)
+    part /= part.sum()
+    rate = np.log(n / part + prior)
     return np.clip(rate[1] - rate[0], -most, most) - drift
 
 
@@ -69,7 +71,7 @@ class Scorer:
     parameters of the best segment's score over ``n`` tokens of clean text:
     P(score >= s) = 1 - exp(-size * n * exp(-rate * s))."""
 
-    def __init__(self, odds: np.ndarray, least: float = 3.0):
+    def __init__(self, odds: np.ndarray, least: float = 1.5):
         self.odds, self.least, self.cache = odds, least, {}
         self.rate, self.size, self.slope, self.base = 1.0, 1.0, 1.0, 0.0
 
@@ -110,19 +112,21 @@ class Scorer:
 
 def _read(batches: Iterator[pd.DataFrame], scorer: Scorer) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(*((n, [s for *_, s in found])),) for n, found in map(scorer.read, b["_text"])]
+        rows = [(n, [s for *_, s in found]) for n, found in map(scorer.read, b["_text"])]
         yield pd.DataFrame({"n": [n for n, _ in rows], "scores": [s for _, s in rows], "label": b["label"].to_numpy()})
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_labels: int = 100_000) -> Scorer:
-    """Learns from at most ``max_labels`` labelled rows: token counts summed on
-    Spark into a fixed number of buckets, then the extreme-value parameters from
-    rows labelled 0, then a logistic curve from evidence to probability."""
+    """Learns from at most ``max_labels`` labelled rows: texts by token, summed on
+    Spark into a fixed number of buckets over three quarters of the rows (by
+    hash), then on the last quarter the extreme-value parameters from rows
+    labelled 0 and a logistic curve from evidence to probability."""
     known = F.broadcast(labelled(labels, F.col(label).cast("int"), max_labels).withColumnRenamed("doc_id", "_id"))
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text")).join(known, "_id").select("_text", "label")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text")).join(known, "_id").select("_text", "label", (F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(4)) == 0).alias("_last"))
+    last, rows = rows.filter("_last").drop("_last"), rows.filter("NOT _last").drop("_last")
     counts = rows.mapInPandas(_counts, "bucket int, label int, n long").groupBy("bucket", "label").agg(F.sum("n").alias("n")).toPandas()
     scorer = Scorer(log_odds(counts))
-    got = [(r.n, list(r.scores), r.label) for r in rows.mapInPandas(lambda it: _read(it, scorer), "n long, scores array<double>, label int").collect()]
+    got = [(r.n, list(r.scores), r.label) for r in last.mapInPandas(lambda it: _read(it, scorer), "n long, scores array<double>, label int").collect()]
     clean = sorted(s for n, scores, y in got if y == 0 for s in scores)
     tokens = sum(n for n, _, y in got if y == 0)
     if clean and tokens:
