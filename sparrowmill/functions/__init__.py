@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def discounted(price: str = "l_extendedprice", discount: str = "l_discount") -> Column:
-    """Price after discount."""
-    return F.col(price) * (1 - F.col(discount))
+    """Price after discount, as a decimal: its sums do not depend on the order of rows."""
+    return (F.col(price) * (1 - F.col(discount))).cast("decimal(18,4)")
 
 
 def money(total: Column) -> Column:
-    """A sum of doubles rounded to cents: the order of addition then no longer shows."""
-    return F.round(total, 2)
+    """A sum rounded to cents, as a double."""
+    return F.round(total, 2).cast("double")
 
 
 def utc(ts: str) -> Column:

@@ -92,11 +92,11 @@ QUERIES = {f.__name__: f for f in (pricing_summary, revenue_by_nation_month, top
 ORACLE_SQL = {
     "pricing_summary": """
         SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-               round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS n_lines
+               CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))), 2) AS DOUBLE) AS sum_disc_price, count(*) AS n_lines
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-30' GROUP BY ALL""",
     "revenue_by_nation_month": """
-        WITH o AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem GROUP BY 1)
-        SELECT n_name, strftime(o_orderdate, '%Y-%m') AS month, round(sum(r), 2) AS revenue, count(*) AS n_orders
+        WITH o AS (SELECT l_orderkey, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS r FROM lineitem GROUP BY 1)
+        SELECT n_name, strftime(o_orderdate, '%Y-%m') AS month, CAST(round(sum(r), 2) AS DOUBLE) AS revenue, count(*) AS n_orders
         FROM o JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
     "top_orders_per_customer": """
         SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank
