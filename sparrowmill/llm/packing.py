@@ -74,11 +74,11 @@ def balance(lengths: list[int], seq_len: int, linear: float, quadratic: float) -
 
 def _packed(group: pd.DataFrame, seq_len: int, linear: float, quadratic: float) -> pd.DataFrame:
     group = group.sort_values(["doc_id", "start", "_row"], kind="stable").reset_index(drop=True)
-    rows = []
-    for p, cut, n, seq, offset in balance(group["length"].tolist(), seq_len, linear, quadratic):
-        g = group.iloc[p]
-        rows.append((g["doc_id"], g["start"] + cut, n, g["doc_tokens"], g["ids"][4 * cut : 4 * (cut + n)], (int(g["_group"]) << 24) + seq, offset))
-    return pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+    at, cut, n, seq, offset = np.array(balance(group["length"].tolist(), seq_len, linear, quadratic), np.int64).reshape(-1, 5).T
+    out = group.take(at).reset_index(drop=True)
+    ids = [b[4 * c : 4 * (c + m)] for b, c, m in zip(out["ids"], cut.tolist(), n.tolist(), strict=True)]
+    out = out.assign(start=out["start"] + cut, length=n, ids=ids, sequence_id=(out["_group"].astype("int64") << 24) + seq, offset=offset)
+    return out[["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
 
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", seq_len: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, group_tokens: int = 200_000) -> DataFrame:
