@@ -77,7 +77,7 @@ def _packed(group: pd.DataFrame, seq_len: int, linear: float, quadratic: float)
     at, cut, n, seq, offset = np.array(balance(group["length"].tolist(), seq_len, linear, quadratic), np.int64).reshape(-1, 5).T
     out = group.take(at).reset_index(drop=True)
     ids = [b[4 * c : 4 * (c + m)] for b, c, m in zip(out["ids"], cut.tolist(), n.tolist(), strict=True)]
-    out = out.assign(start=out["start"] + cut, length=n, ids=ids, sequence_id=(out["_group"].astype("int64") << 24) + seq, offset=offset)
+    out = out.assign(start=out["start"] + cut, length=n, ids=ids, sequence_id=out["_group"].astype("int64") * (1 << 24) + seq, offset=offset)
     return out[["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
 
