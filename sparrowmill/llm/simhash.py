@@ -65,9 +65,11 @@ def keys(fps: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     At most four differing bits over three segments leave either one segment
     equal or two with at most one error each. Kinds 0 to 14: a segment as it is,
     with one of five parts of the rest (four errors leave one part equal); both
-    sides alike. Kinds 15 to 17: for two segments, side 0 has the fuzzy indices
+    sides alike. Kinds 15 to 23: for two segments, side 0 has the fuzzy indices
     of the first and the index of the second, side 1 the other way round; values
-    one error apart in each then meet."""
+    one error apart in each then meet. If no segment is equal, the third one has
+    at most two errors, so one of three parts of it is equal and joins the key,
+    without which 24 bits alone would meet by chance."""
     u = fps.view(np.uint64)
     parts = [((u >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
     every = np.arange(len(u))
@@ -79,11 +81,14 @@ def keys(fps: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
             piece = (rest >> edges[p]) & ((1 << (edges[p + 1] - edges[p])) - 1)
             yield 5 * s + p, 2, every, (parts[s] << 12) | piece
     exact, loose = [decode(p) for p in parts], [fuzzy(p) for p in parts]
-    for k, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
+    for k, (x, y, z) in enumerate(((0, 1, 2), (0, 2, 1), (1, 2, 0))):
+        edges = [round(SEGMENTS[z][1] * i / 3) for i in range(4)]
+        thirds = [(parts[z] >> a) & ((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
         for side, a, b in ((0, loose[x], exact[y][:, None]), (1, exact[x][:, None], loose[y])):
-            many = (a << 12) | b
+            many = (a << 20) | (b << 8)
             rows, cols = np.nonzero((a != MISSING) & (b != MISSING))
-            yield 15 + k, side, rows, many[rows, cols]
+            for t, third in enumerate(thirds):
+                yield 15 + 3 * k + t, side, rows, many[rows, cols] | third[rows]
 
 
 def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
