@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparrowmill.llm import decontamination, ordinal, packing, pii, quality_rules, quotes, secrets, sharding, simhash, toxicity
+from sparrowmill.llm import decontamination, minhash, ordinal, packing, pii, quality_rules, quotes, secrets, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -229,6 +229,49 @@ def test_simhash_links(spark):
     assert [got.get(p, p) for p in prints] == want
 
 
+def plain_shingles(text, words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def plain_near(rows, like=0.8):
+    """The rows that stay, by comparing all pairs."""
+    sets = [plain_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= like * len(x | y):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, t) in enumerate(rows):
+        least.setdefault(root(i), []).append((d is not None, d or 0, i, d, t))
+    return Counter((d, t) for *_, d, t in (min(g) for g in least.values()))
+
+
+def test_near_dedup(spark, docs, odd):
+    """Texts at all similarities around 0.8, most of them far apart in SimHash."""
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(25):
+        x = [f"w{r.randrange(3000)}" for _ in range(r.choice((30, 120, 400)))]
+        for edits in (0, 0.01, 0.02, 0.02, 0.03, 0.05):
+            y = [f"w{r.randrange(3000)}" if r.random() < edits else w for w in x]
+            rows.append((len(rows), " ".join(y)))
+            x = y if r.random() < 0.3 else x
+    made = spark.createDataFrame([(*x, "en", "a", 0) for x in rows], SCHEMA)
+    for df in (made, docs, odd):
+        rows = texts(df)
+        assert Counter(texts(corpus_pipeline.near_dedup(spark, df, SF))) == plain_near(rows)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(request, which):
     import numpy as np
