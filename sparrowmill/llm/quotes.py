@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparrowmill.llm.common import is_empty, written
 from sparrowmill.sources import table
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -51,6 +52,34 @@ def links(messages: DataFrame) -> DataFrame:
     return best.select("conv_id", "turn", F.col("_b.parent").alias("parent"), F.col("_b.shared").alias("shared"))
 
 
+def tour(found: DataFrame) -> DataFrame:
+    """``(conv_id, turn, thread, left)`` for the turns of ``found (conv_id, turn,
+    parent)`` and their parents: the turn that starts the thread, through all
+    parents, and how many turns are left of the thread from this one on, a turn
+    coming before the replies to it and replies by turn. This is the order by
+    the path from the start, without paths, whose sizes add up to the square of
+    a chain's length.
+
+    A turn is entered, its replies are gone through, and it is left again
+    (``up``). These steps are a list that ends where the start is left; each
+    points to the next and then jumps along the pointers to the end. Only steps
+    that have not reached it are joined, so no step is met twice in a round."""
+    found = found.select("conv_id", "turn", "parent")
+    turns = found.select("conv_id", "turn").union(found.select("conv_id", "parent")).distinct()
+    siblings = found.withColumn("next", F.lead("turn").over(Window.partitionBy("conv_id", "parent").orderBy("turn")))
+    first = found.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("first"))
+    near = written(turns.join(siblings, ["conv_id", "turn"], "left").join(first, ["conv_id", "turn"], "left"))
+    enter = near.select("conv_id", "turn", F.lit(False).alias("up"), F.coalesce("first", "turn").alias("to"), F.col("first").isNull().alias("to_up"), F.lit(1).cast("long").alias("left"), F.lit(False).alias("done"))
+    leave = near.select("conv_id", "turn", F.lit(True), F.coalesce("next", "parent", "turn"), F.col("next").isNull(), F.lit(0).cast("long"), F.col("parent").isNull())
+    steps = written(enter.union(leave))
+    while not is_empty(steps.filter("NOT done")):
+        far = steps.select("conv_id", F.col("turn").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("_to"), F.col("to_up").alias("_up"), F.col("left").alias("_left"), F.col("done").alias("_done"))
+        jumped = steps.filter("NOT done").join(far, ["conv_id", "to", "to_up"])
+        jumped = jumped.select("conv_id", "turn", "up", F.col("_to").alias("to"), F.col("_up").alias("to_up"), (F.col("left") + F.col("_left")).alias("left"), F.col("_done").alias("done"))
+        steps = written(steps.filter("done").union(jumped))
+    return steps.filter("NOT up").select("conv_id", "turn", F.col("to").alias("thread"), "left")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, clean, n_quoted, parent, quotes,
     position)``: every
@@ -59,22 +88,28 @@ def conversations(messages: DataFrame) -> DataFrame:
     reply order within its conversation.
 
     Reply order sorts by the turn that starts a thread - a message that quotes
-    joins the thread of its parent's turn - and then by turn. Null texts are
-    empty; a null role stays null; repeated rows all come out, their order by
+    joins the thread of its parent, however long the chain - and within it by
+    the path from there: each message is followed by the replies that quote it,
+    these by turn. Null texts are empty; a null role stays null; repeated rows all come out, their order by
     role and text; rows with null conv_id or turn come out without a link;
     empty tables give no rows; other columns are not carried."""
     rows = messages.select("conv_id", "turn", "role", "text")
     parts = F.split(F.coalesce("text", F.lit("")), "\n")
     own = F.filter(parts, lambda x: ~x.rlike(MARKS) & ~x.rlike(HEADER))
     n_quoted = F.size(F.filter(parts, lambda x: x.rlike(MARKS)))
-    found = links(messages)
+    found = written(links(messages))
     turns = rows.select("conv_id", "turn").distinct().withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
     linked = turns.join(found, ["conv_id", "turn"], "left")
+    if is_empty(found):
+        linked = linked.withColumns({"thread": F.col("turn"), "left": F.lit(None).cast("long")})
+    else:
+        linked = linked.join(tour(found), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
     rows = rows.join(linked, ["conv_id", "turn"], "left")
-    rows = rows.select("conv_id", "turn", "role", F.trim(F.array_join(own, "\n")).alias("clean"), n_quoted.cast("long").alias("n_quoted"), F.coalesce("parent", "before").alias("parent"), F.col("shared").isNotNull().alias("quotes"))
-    thread = F.when(F.col("quotes"), F.col("parent")).otherwise(F.col("turn"))
-    order = Window.partitionBy("conv_id").orderBy(thread.asc_nulls_first(), "turn", "role", "clean")
-    return rows.withColumn("position", F.row_number().over(order).cast("long"))
+    rows = rows.select("conv_id", "turn", "role", F.trim(F.array_join(own, "\n")).alias("clean"), n_quoted.cast("long").alias("n_quoted"), F.coalesce("parent", "before").alias("parent"), F.col("shared").isNotNull().alias("quotes"), "thread", "left")
+    # Rows without a conversation have met no thread.
+    thread = F.coalesce("thread", "turn")
+    order = Window.partitionBy("conv_id").orderBy(thread.asc_nulls_first(), F.desc("left"), "turn", "role", "clean")
+    return rows.withColumn("position", F.row_number().over(order).cast("long")).drop("thread", "left")
 
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

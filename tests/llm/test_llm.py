@@ -357,6 +357,27 @@ def test_quotes(spark):
     assert [t for _, t in sorted((r.position, t) for (c, t), r in got.items() if c == 1)] == [0, 2, 1, 3]
 
 
+def test_quotes_chains(spark):
+    """Chains of replies that quote replies, of up to some 40 links."""
+    import random
+
+    r = random.Random(4)
+    rows, paths = [(1, 0, "user", "a b"), (1, 1, "user", "c d"), (1, 2, "user", "> a b\ne f"), (1, 3, "user", "> e f\ng h"), (1, 4, "user", "> a b\ni j"), (1, 5, "user", "> g h\nk l")], {}
+    for conv in (2, 3, 4):
+        for turn in range(60):
+            # Conversation 2 is one chain but for its plain turns.
+            parent = None if turn < 2 or r.random() < 0.1 else turn - 2 if conv == 2 else r.randrange(turn)
+            rows.append((conv, turn, "user", f"{'' if parent is None else f'> own line {conv} {parent}' + chr(10)}own line {conv} {turn}"))
+            paths[conv, turn] = (*(paths[conv, parent] if parent is not None else ()), turn)
+    r.shuffle(rows)
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    order = {c: [x.turn for x in sorted(got, key=lambda x: x.position) if x.conv_id == c] for c in (1, 2, 3, 4)}
+    assert order[1] == [0, 2, 3, 5, 4, 1]
+    for conv in (2, 3, 4):
+        assert order[conv] == [t for _, t in sorted((p, t) for (c, t), p in paths.items() if c == conv)]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(empty).count() == 0
