@@ -80,7 +80,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for a, b, _ in found:
         taken[a:b] = True
     for _, scan in LOOSE:
-        if not re.search(r"[0-9]{2}| at |\[at\]|\(at\)", text, re.I):
+        # What every loose match holds.
+        if not re.search(r"[0-9][ ().-]{0,2}[0-9]| at |\[at\]|\(at\)", text, re.I):
             break
         for m in scan.finditer(text):
             if taken is None or not taken[m.start() : m.end()].any():

@@ -121,6 +121,13 @@ def test_pii_patterns(text):
     assert [f"{k}:{a}:{b}" for a, b, k in pii.base_spans(text)] == plain_base(text)
 
 
+def test_pii_digit_by_digit():
+    for number in ("2 1 2 5 5 5 0 1 0 0", "(2) 1-2.5 - 5"):
+        alone = pii.candidates(f"call {number} now")
+        beside = pii.candidates(f"call {number} now, room 12")
+        assert alone == beside and (len(alone) == 1) == (len(number) > 15)
+
+
 def test_pii_repeats_agree(docs):
     weights = pii.fit(docs)
     text = "Call +1 212 555 0100 today. Later: 212 555 0100 again. Order 1234567."
