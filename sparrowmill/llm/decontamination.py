@@ -95,26 +95,29 @@ def _scan(batches: Iterator[pd.DataFrame], items: list[tuple[int, str]], per_err
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, row: str = "_row", text: str = "text", per_error: int = 12, block_chars: int = 8_000_000) -> DataFrame:
-    """``(row, item_id, distance, at)``: the best match of every item that occurs
-    in a text with at most one edit per ``per_error`` characters.
+    """``(row, item_id, distance, at)``: the best match of every text of an item
+    that occurs in a text with at most one edit per ``per_error`` characters.
 
     An item with k edits allowed is split into k + 1 pieces; one of them must
     occur as it is. Items go to the tasks in blocks of at most about
     ``block_chars`` characters, each block in a pass of its own, so what a task
     holds does not grow with the benchmark. Items under 24 characters have to
-    occur word for word; null and empty items and texts match nothing; an item
-    id that repeats counts as its longest text; empty tables give no rows."""
-    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item_id IS NOT NULL AND item IS NOT NULL")
-    named = named.groupBy("item_id").agg(F.max_by("item", F.struct(F.length("item"), "item")).alias("item"))
+    occur word for word; null and empty items and texts match nothing; every
+    distinct text of an item id is searched, and a match comes out for each id
+    that has the text, a null id included; empty tables give no rows."""
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL")
+    named = written(named.groupBy("item").agg(F.collect_set(F.struct("item_id")).alias("_ids")).withColumn("_key", F.monotonically_increasing_id()))
     total = named.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    named = named.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    ids = named.select(F.col("_key").alias("item_id"), "_ids")
+    named = named.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
     rows = docs.select(F.col(row).alias("_row"), F.col(text).alias("_text"))
     found = []
     for block in range(blocks):
-        items = [tuple(r) for r in named.filter(F.col("_block") == block).select("item_id", "item").collect()]
+        items = [tuple(r) for r in named.filter(F.col("_block") == block).select("_key", "item").collect()]
         found.append(rows.mapInPandas(lambda it, items=items: _scan(it, items, per_error), f"_row long, {HIT}"))
-    return reduce(DataFrame.union, found)
+    hits = reduce(DataFrame.union, found).join(ids, "item_id")
+    return hits.select("_row", F.explode("_ids.item_id").alias("item_id"), "distance", "at")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -178,6 +178,17 @@ def test_decontamination(spark, docs):
     assert decontamination.clean(both, bench.limit(0)).count() == both.count()
 
 
+def test_decontamination_ids(spark):
+    """Texts without an id, or under one with a longer text, or under several."""
+    item = "the quick brown fox number {} jumps over the lazy dog near river {}"
+    a, b, c, d = (item.format(*x) for x in (("one", "rhine and then home"), ("seven", "oder"), ("twenty", "elbe"), ("nine", "main")))
+    bench = spark.createDataFrame([(1, a), (1, b), (1, b), (None, c), (2, d), (3, d), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"start {x} end") for i, x in enumerate((a, b, c, d, "clean"))], "doc_id long, text string")
+    got = Counter((r._row, r.item_id) for r in decontamination.matches(docs, bench, "doc_id").filter("distance = 0").collect())
+    assert got == Counter([(0, 1), (1, 1), (2, None), (3, 2), (3, 3)])
+    assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [4]
+
+
 def plain_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
