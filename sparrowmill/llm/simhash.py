@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import WORD, without, written
+from sparrowmill.llm.common import WORD, identity, is_empty, one_each, release, settled, written
 from sparrowmill.sources import table
 
 #: Generator polynomial of the perfect binary Golay code of length 23 (a fixed value): x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -129,34 +129,103 @@ def components(edges: DataFrame) -> DataFrame:
         to = label.select(F.col("fp").alias("mid"), F.col("root").alias("far"))
         fresh = written(next_.join(to, "mid", "left").select("fp", "was", F.least("mid", "far").alias("root")))
         changed = fresh.filter("root < was").take(1)
-        label = fresh.select("fp", "root")
+        release(label)
+        label = fresh
         if not changed:
-            return label
+            release(both)
+            return label.select("fp", "root")
+
+
+def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """``roots (fp, root)``, which leaves out what is its own root, after the two
+    roots of each of the ``edges (a, b)`` have become one."""
+    edges = written(edges.distinct())
+    if is_empty(edges):
+        release(edges)
+        return roots
+    top = components(edges).toDF("root", "top")
+    if roots is None:
+        return written(top.toDF("fp", "root"))
+    known = roots.union(top.select(F.col("root").alias("fp"), "root")).dropDuplicates(["fp"])
+    out = written(known.join(top, "root", "left").select("fp", F.coalesce("top", "root").alias("root")))
+    release(roots, edges)
+    return out
+
+
+def rooted(rows: DataFrame, roots: DataFrame | None, name: str = "fp") -> DataFrame:
+    """``rows`` with the ``root`` of their column ``name``."""
+    if roots is None:
+        return rows.withColumn("root", F.col(name))
+    return rows.join(roots.select(F.col("fp").alias(name), F.col("root").alias("_r")), name, "left").withColumn("root", F.coalesce("_r", name)).drop("_r")
+
+
+def leaders(live: DataFrame, turn: int, name: str = "fp") -> DataFrame:
+    """Rows of the buckets in which several roots meet yet, with the bucket's rows
+    ``met`` and a member drawn by hash, another each turn: ``low``, ``low_root``."""
+    drawn = F.min_by(F.struct(name, "root"), F.xxhash64(name, "key", F.lit(turn)))
+    mixed = live.groupBy("key").agg(drawn.alias("_l"), F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count("*").alias("met")).filter("_r0 < _r1")
+    return live.join(mixed.select("key", F.col(f"_l.{name}").alias("low"), F.col("_l.root").alias("low_root"), "met"), "key")
 
 
-def link(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """``(fp, root)`` for distinct fingerprints that have a link at ``bits`` (at
-    most 4) or fewer differing bits.
+def divided(rows: DataFrame, depth: int, parts: int) -> DataFrame:
+    """Buckets divided by further bits: each goes into ``parts`` of them, by the
+    values of as many parts of all 64 bits, dealt anew at each depth. Two that
+    differ in fewer than ``parts`` bits agree in one part and so meet again."""
+    dealt = np.random.default_rng(depth).permutation(64)
+    masks = [sum(1 << int(b) for b in dealt[p::parts]) for p in range(parts)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    bits = [F.xxhash64("key", F.lit(p), F.col("fp").bitwiseAND(F.lit(m))) for p, m in enumerate(masks)]
+    return rows.select("fp", "side", F.explode(F.array(*bits)).alias("key"))
 
-    First every bucket ties its members to its smallest one where they are
-    close enough, which merges groups of near copies with one edge a member.
-    Then only pairs of a bucket whose members are in different components yet
-    are compared, so a dense group is not expanded into its pairs."""
-    kr = written(prints.mapInPandas(_key_rows, "fp long, key long, side byte"))
+
+def link(prints: DataFrame, bits: int = 4, few: int = 64, turns: int = 2) -> DataFrame:
+    """``(fp, root)`` for the distinct fingerprints that have a link at ``bits``
+    (at most 4) or fewer differing bits; ``root`` is the smallest reached.
+
+    In turns, every member of a bucket is held against one of them drawn by
+    hash, and what is close becomes one. This costs one comparison a member and
+    merges groups of near copies. Then, in buckets of up to ``few`` in which
+    several roots meet, pairs with different roots are compared. Larger ones are
+    divided by further bits, which loses no link, and go round again: so no
+    bucket makes more than ``few`` pairs a member, however large it is."""
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    shared = kr.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    kr = written(kr.join(shared.select("key", "low"), "key"))
-    stars = kr.filter(F.col("fp") != F.col("low")).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct().filter(near("a", "b"))
-    first = components(stars)
-    tagged = kr.join(first, "fp", "left").select("key", "side", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = tagged.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    tagged = written(tagged.join(mixed, "key"))
-    x, y = tagged.filter("side != 1").toDF("key", "sa", "a", "ra"), tagged.filter("side != 0").toDF("key", "sb", "b", "rb")
-    pairs = x.join(y, "key").filter((F.col("ra") != F.col("rb")) & near("a", "b") & ((F.col("sa") != 2) | (F.col("a") < F.col("b"))))
-    edges = pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    top = components(edges).select(F.col("fp").alias("root"), F.col("root").alias("top"))
-    known = first.select("fp", "root").union(top.select(F.col("root").alias("fp"), "root")).dropDuplicates(["fp"])
-    return known.join(top, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    live = written(prints.repartition(tasks).mapInPandas(_key_rows, "fp long, key long, side byte"))
+    roots, depth = None, 0
+    while True:
+        for turn in range(turns):
+            held = written(leaders(rooted(live.select("key", "side", "fp"), roots), turns * depth + turn))
+            release(live)
+            live = held
+            if is_empty(live):
+                break
+            roots = merged(roots, live.filter((F.col("root") != F.col("low_root")) & near("fp", "low")).select(F.col("low_root").alias("a"), F.col("root").alias("b")))
+        held = written(leaders(rooted(live.select("key", "side", "fp"), roots), 0))
+        release(live)
+        small = held.filter(F.col("met") <= few).select("key", "side", "fp", "root")
+        x, y = small.filter("side != 1").toDF("key", "sa", "a", "ra"), small.filter("side != 0").toDF("key", "sb", "b", "rb")
+        pairs = x.join(y, "key").filter((F.col("ra") != F.col("rb")) & near("a", "b") & ((F.col("sa") != 2) | (F.col("a") < F.col("b"))))
+        roots = merged(roots, pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        large = held.filter(F.col("met") > few)
+        if is_empty(large):
+            release(held)
+            return roots if roots is not None else prints.select("fp", F.col("fp").alias("root")).limit(0)
+        live = written(divided(large, depth, bits + 1))
+        release(held)
+        depth += 1
+
+
+def grouped(rows: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """``rows`` with ``fp`` for their column ``_text``, and ``root``, which rows
+    share that are linked, directly or over others."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
+    rows = written(rows.mapInPandas(lambda it: _fingerprints(it, words), ", ".join([*kinds, "fp long"])))
+    prints = written(rows.select("fp").distinct())
+    roots = rooted(prints, link(prints, bits))
+    # A fingerprint may hold a third of the rows: these are dealt over 16 salts.
+    salted = roots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    dealt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "fp"]), F.lit(16)).cast("int")
+    return rows.withColumn("_salt", dealt).join(salted, ["fp", "_salt"]).drop("_salt")
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
@@ -164,31 +233,34 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
 
     Equal fingerprints are one from the start; links between different ones
     come from :func:`link`. ``component_id`` is the smallest id reachable. Null
-    and empty texts have fingerprint zero and link like any other; rows with a
-    null id take part and get a component id, null only if no row of the group
-    has an id; repeated rows all come out; an empty table gives no rows."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = written(rows.mapInPandas(lambda it: _fingerprints(it, words), f"doc_id {kind}, fp long"))
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = written(link(prints.select("fp"), bits))
-    groups = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = groups.join(least, "root").select("fp", "component_id")
-    # A fingerprint may hold a third of the rows: these are dealt over 16 salts.
-    salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    return rows.join(salted, ["fp", "_salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    and empty texts have fingerprint zero and link like any other; very long
+    ones are read whole, in blocks of shingles; rows with a null id take part
+    and get a component id, null only if no row of the group has an id; repeated
+    rows all come out; an empty table gives no rows; other columns are not
+    carried, so their names cannot clash."""
+    found = settled(lambda: grouped(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text")), words, bits))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Groups are dealt over salts like fingerprints.
+    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    found = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "fp"), F.lit(16)).cast("int"))
+    return found.join(least, ["root", "_salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of(found: DataFrame) -> DataFrame:
+    """``(_h1, _h2, n)`` of one row of each ``root`` in ``found (doc_id, _h1, _h2,
+    root)``: that with the smallest doc_id, a null before all others; ``n``
+    counts its repeats."""
+    counted = found.groupBy("root", "doc_id", "_h1", "_h2").agg(F.count("*").alias("n"))
+    return counted.groupBy("root").agg(F.min(F.struct("doc_id", "_h1", "_h2", "n")).alias("_f")).select("_f._h1", "_f._h2", "_f.n")
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """One row of each group of near copies: that with the smallest doc_id, and
-    the first of its repeats. A null text is like an empty one; a group without
-    ids keeps one row."""
-    docs = written(without(df, "_row").withColumn("_row", F.monotonically_increasing_id()))
-    groups = near_copies(docs.select("_row", "text"), "_row").select(F.col("doc_id").alias("_row"), "component_id")
-    first = docs.select("doc_id", "_row").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
-    return docs.join(first, "_row", "left_semi").drop("_row")
+    """One row of each group of near copies with all its columns: that with the
+    smallest doc_id, and one of its repeats. A null text is like an empty one; a
+    group without ids keeps one row; an empty table gives no rows."""
+    h1, h2 = identity()
+    rows = df.select("doc_id", h1.alias("_h1"), h2.alias("_h2"), F.col("text").alias("_text"))
+    return one_each(df, settled(lambda: first_of(grouped(rows))))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
