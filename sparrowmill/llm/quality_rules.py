@@ -7,16 +7,25 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import SPACE, without, written
+from sparrowmill.llm.common import SPACE, identity, only, settled, without, written
 from sparrowmill.sources import table
 
+HELPERS = ("_upper", "_letters", "_ends", "_common", "_bare", "_marked")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The commonest function words of English, French, German and Spanish.
+COMMON = (
+    "a an and are as at be by for from has have in is it not of on or that the this to was were with "
+    "au aux ce dans de des du elle en est et il la le les par pas pour que qui sur un une "
+    "auf das dem den der des die ein eine für ist mit nicht sich und von zu "
+    "al como con del el es las lo los más no para por se su y"
+).split()
 ADDED = (*COUNTS, "base_failed", "votes", "p_good", "kept")
 
 
 def counts(df: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """Adds the counts of the rules and ``n_upper``, ``n_letters``, ``n_ends``.
-    Windows of words are compared by 64-bit hash within a row; nothing is
+    """Adds the counts of the rules, those that are not results under names with an
+    underscore: capitals, letters, sentence ends, function words, words without a
+    letter or digit, and words with symbols stuck to them. Windows of words are compared by 64-bit hash within a row; nothing is
     exploded, so no text is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_w", F.filter(F.split(t, SPACE), lambda w: w != ""))
@@ -38,6 +47,9 @@ def counts(df: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
         "_upper": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
         "_letters": F.length(F.regexp_replace(t, r"[^\p{L}]+", "")),
         "_ends": F.length(F.regexp_replace(t, r"[^.!?]+", "")),
+        "_common": F.size(F.filter("_w", lambda w: w.isin(COMMON))),
+        "_bare": F.regexp_count(t, F.lit(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")),
+        "_marked": F.regexp_count(t, F.lit(r"[^\s#*$%&|<>][#*$%&|<>]")),
     }).drop("_w", "_s", "_p")
 
 
@@ -56,8 +68,11 @@ def rules() -> list[Column]:
         vote(F.col("n_repeat_words") < 0.05 * n, F.col("n_repeat_words") > 0.2 * n),
         vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") > 3),
         vote(F.col("_upper") < 0.15 * letters, F.col("_upper") > 0.6 * letters),
-        vote(F.col("_letters") > 0.85 * F.col("word_chars"), F.col("_letters") < 0.75 * F.col("word_chars")),
+        vote(F.col("_letters") > 0.92 * F.col("word_chars"), F.col("_letters") < 0.8 * F.col("word_chars")),
         vote(F.col("_ends").between(0.01 * n, 0.25 * n), F.col("_ends") > 0.7 * n),
+        vote(F.col("_common") > 0.06 * n, (F.col("_common") < 0.02 * n) & (n >= 30)),
+        vote(F.col("_bare") < 0.02 * n, F.col("_bare") > 0.1 * n),
+        vote(F.col("_marked") < 0.02 * n, F.col("_marked") > 0.1 * n),
     ]
 
 
@@ -89,20 +104,17 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[
     return base, odds
 
 
-def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of ``df`` with the counts, ``base_failed``, ``votes``,
-    ``p_good`` (posterior that the text is good) and ``kept``.
+def votes(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the counts, ``base_failed`` and ``votes``."""
+    voted = counts(df, text).withColumn("votes", F.array(*rules()))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return voted.withColumn("base_failed", failed).drop(*HELPERS)
 
-    Votes are counted by pattern over all rows (at most 3 to the number of
-    rules patterns reach the driver), accuracies are estimated from these
-    counts, and the posterior is a sum of each row's votes.
 
-    A null or empty text has no words and fails the base rule; repeated rows
-    are judged alike, each on its own; an empty table gives none; columns named
-    as the added ones are replaced."""
-    voted = counts(without(df, *ADDED), text).withColumn("votes", F.array(*rules())).drop("_upper", "_letters", "_ends")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    voted = written(voted.withColumn("base_failed", failed))
+def posterior(voted: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """A written table of ``votes`` with ``p_good`` and ``kept``. Votes are counted
+    by pattern over all rows (at most 3 to the number of rules patterns, and far
+    fewer in a corpus, reach the driver); accuracies are estimated from them."""
     patterns = sorted((tuple(r[0]), r[1]) for r in voted.groupBy("votes").count().collect())
     base, odds = fit(patterns)
     logit = F.lit(base)
@@ -113,6 +125,29 @@ def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFram
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
+def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The columns of ``df`` but ``text``, with the counts, ``base_failed``,
+    ``votes``, ``p_good`` (posterior that the text is good) and ``kept``. The
+    posterior is a sum over each row's votes; texts are read once and neither
+    written nor shuffled.
+
+    A null or empty text has no words and fails the base rule; a very long one
+    is counted whole, within its row; repeated rows are judged alike, each on
+    its own; a text for which the votes balance out is kept; an empty table
+    gives no rows; columns named as the added ones are replaced (:func:`keep`
+    leaves all columns as they are)."""
+    rows = without(df, *ADDED, *HELPERS, "_w", "_s", "_p")
+    return posterior(written(votes(rows, text).drop(text)), threshold)
+
+
+def keep(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns, whatever these
+    are called. The verdicts are joined back by identity."""
+    h1, h2 = identity()
+    judged = settled(lambda: judge(df.select(h1.alias("_h1"), h2.alias("_h2"), "text"), threshold=threshold).filter("kept").select("_h1", "_h2").distinct())
+    return only(df, judged)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "p_good")
