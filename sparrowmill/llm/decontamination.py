@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import written
+from sparrowmill.llm.common import release, written
 from sparrowmill.sources import table
 
 HIT = "item_id long, distance int, at long"
@@ -53,78 +53,119 @@ def budget_of(length: int, per_error: int = 12, exact_below: int = 24) -> int:
     return length // per_error if length >= exact_below else 0
 
 
+class Searcher:
+    """The items of a block, ready to be looked for in texts. An item with k
+    edits allowed is split into k + 1 pieces; one of them must occur as it is."""
+
+    def __init__(self, items: list[tuple[int, str]], per_error: int):
+        import ahocorasick
+
+        self.texts, self.spots = {}, {}
+        for item_id, text in items:
+            if not (text := normal(text)):
+                continue
+            k = budget_of(len(text), per_error)
+            self.texts[item_id] = (text, k)
+            for at, piece in pieces(text, k) if k else [(0, f" {text} ")]:
+                self.spots.setdefault(piece, []).append((item_id, at, len(piece)))
+        self.found = ahocorasick.Automaton()
+        for piece, where in self.spots.items():
+            self.found.add_word(piece, where)
+        if self.spots:
+            self.found.make_automaton()
+
+    def best(self, text: str | None, one: bool = False) -> dict[int, tuple[int, int]]:
+        """Item to (distance, place) of its best match; with ``one``, the search
+        ends at the first match of any item."""
+        best: dict[int, tuple[int, int]] = {}
+        if not self.spots:
+            return best
+        text = f" {normal(text)} "
+        # A place is tried once for hits that point to about the same start.
+        tried = set()
+        for end, where in self.found.iter(text):
+            for item_id, at, size in where:
+                if one and best:
+                    return best
+                item, k = self.texts[item_id]
+                if not k:
+                    best.setdefault(item_id, (0, end - len(item)))
+                    continue
+                zone = (end + 1 - size - at) // max(1, k)
+                if (item_id, zone) in tried or best.get(item_id, (1, 0))[0] == 0:
+                    continue
+                tried.add((item_id, zone))
+                low = max(0, zone * k - k)
+                d, stop = myers(item, text[low : zone * k + 2 * k + len(item)])
+                if d <= k and (item_id not in best or d < best[item_id][0]):
+                    best[item_id] = (d, max(0, low + stop - len(item)))
+        return best
+
+
 def _scan(batches: Iterator[pd.DataFrame], items: list[tuple[int, str]], per_error: int) -> Iterator[pd.DataFrame]:
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    texts, spots = {}, {}
-    for item_id, text in items:
-        if not (text := normal(text)):
-            continue
-        k = budget_of(len(text), per_error)
-        texts[item_id] = (text, k)
-        for at, piece in pieces(text, k) if k else [(0, f" {text} ")]:
-            spots.setdefault(piece, []).append((item_id, at, len(piece)))
-    for piece, where in spots.items():
-        found.add_word(piece, where)
-    if spots:
-        found.make_automaton()
+    searcher = Searcher(items, per_error)
     for b in batches:
-        rows = []
-        for row, text in zip(b["_row"], b["_text"], strict=True) if spots else ():
-            text = f" {normal(text)} "
-            # A place is tried once for hits that point to about the same start.
-            tried, best = set(), {}
-            for end, where in found.iter(text):
-                for item_id, at, size in where:
-                    item, k = texts[item_id]
-                    if not k:
-                        best.setdefault(item_id, (0, end - len(item)))
-                        continue
-                    head = end + 1 - size - at
-                    zone = head // max(1, k)
-                    if (item_id, zone) in tried or best.get(item_id, (1, 0))[0] == 0:
-                        continue
-                    tried.add((item_id, zone))
-                    low = max(0, zone * k - k)
-                    d, stop = myers(item, text[low : zone * k + 2 * k + len(item)])
-                    if d <= k and (item_id not in best or d < best[item_id][0]):
-                        best[item_id] = (d, max(0, low + stop - len(item)))
-            rows += [(row, item_id, d, at) for item_id, (d, at) in best.items()]
+        rows = [(row, item_id, d, at) for row, text in zip(b["_row"], b["_text"], strict=True) for item_id, (d, at) in searcher.best(text).items()]
         yield pd.DataFrame(rows, columns=["_row", "item_id", "distance", "at"])
 
 
+def _apart(items: list[tuple[int, str]], per_error: int) -> Callable:
+    def apart(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        searcher = Searcher(items, per_error)
+        for part in texts:
+            yield pd.Series([not searcher.best(t, one=True) for t in part], dtype=bool)
+
+    return apart
+
+
+def blocks(benchmark: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """The distinct texts of the benchmark as a written table ``(item, _ids, _key,
+    _block)``, and the number of blocks of at most about ``block_chars``."""
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL")
+    named = named.groupBy("item").agg(F.collect_set(F.struct("item_id")).alias("_ids"), F.sum(F.length("item")).alias("_n"))
+    n = max(1, -(-(benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    return written(named.select("item", "_ids", F.monotonically_increasing_id().alias("_key"), F.pmod(F.xxhash64("item"), F.lit(n)).alias("_block"))), n
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, row: str = "_row", text: str = "text", per_error: int = 12, block_chars: int = 8_000_000) -> DataFrame:
     """``(row, item_id, distance, at)``: the best match of every text of an item
-    that occurs in a text with at most one edit per ``per_error`` characters.
-
-    An item with k edits allowed is split into k + 1 pieces; one of them must
-    occur as it is. Items go to the tasks in blocks of at most about
-    ``block_chars`` characters, each block in a pass of its own, so what a task
-    holds does not grow with the benchmark. Items under 24 characters have to
-    occur word for word; null and empty items and texts match nothing; every
-    distinct text of an item id is searched, and a match comes out for each id
-    that has the text, a null id included; empty tables give no rows."""
-    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL")
-    named = written(named.groupBy("item").agg(F.collect_set(F.struct("item_id")).alias("_ids")).withColumn("_key", F.monotonically_increasing_id()))
-    total = named.agg(F.sum(F.length("item"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    ids = named.select(F.col("_key").alias("item_id"), "_ids")
-    named = named.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-    rows = docs.select(F.col(row).alias("_row"), F.col(text).alias("_text"))
+    that occurs in a text with at most one edit per ``per_error`` characters, and
+    of equally good ones the first; a match that is not exact may be any of its
+    zone's.
+
+    Items go to the tasks in blocks of at most about ``block_chars`` characters.
+    A block has a pass over the texts of its own, and its matches are written
+    before the next one is fetched, so what the driver or a task holds does not
+    grow with the benchmark. Items under 24 characters have to occur word for
+    word; null and empty items and texts match nothing; very long texts are
+    searched whole; a repeated row has its matches each time; every distinct
+    text of an item id is searched, and a match comes out for each id that has
+    the text, a null id included; empty tables give no rows; other columns are
+    not carried."""
+    named, n = blocks(benchmark, block_chars)
+    rows = docs.select(F.col(f"`{row}`").alias("_row"), F.col(f"`{text}`").alias("_text"))
     found = []
-    for block in range(blocks):
+    for block in range(n):
         items = [tuple(r) for r in named.filter(F.col("_block") == block).select("_key", "item").collect()]
-        found.append(rows.mapInPandas(lambda it, items=items: _scan(it, items, per_error), f"_row long, {HIT}"))
-    hits = reduce(DataFrame.union, found).join(ids, "item_id")
+        hits = rows.mapInPandas(lambda it, items=items: _scan(it, items, per_error), f"_row long, {HIT}")
+        found.append(hits if n == 1 else written(hits))
+    hits = reduce(DataFrame.union, found).join(named.select(F.col("_key").alias("item_id"), "_ids"), "item_id")
     return hits.select("_row", F.explode("_ids.item_id").alias("item_id"), "distance", "at")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a match; null and empty texts stay."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    hits = written(matches(rows, benchmark).select("_row").distinct())
-    return rows.join(hits, "_row", "left_anti").drop("_row")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", per_error: int = 12, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` without a match, with all their columns, whatever these
+    are called; null and empty texts stay, repeated rows stay or go together.
+    Only texts go through Python, and nothing is shuffled. Where the benchmark
+    has several blocks, what a block leaves is written and goes to the next."""
+    named, n = blocks(benchmark, block_chars)
+    for block in range(n):
+        items = [tuple(r) for r in named.filter(F.col("_block") == block).select("_key", "item").collect()]
+        before, docs = docs, docs.filter(F.pandas_udf(_apart(items, per_error), "boolean")(F.col(f"`{text}`")))
+        if n > 1:
+            docs = written(docs)
+            release(before)
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
