@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import written
+from sparrowmill.llm.common import fresh
 from sparrowmill.sources import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -26,7 +27,8 @@ BASE = (
 # A local part holds no @, so addresses are read outwards from each @; and an ip
 # that fails from the start of its digits fails from within them. Both scans give
 # the patterns' matches without trying every character of a long run.
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+MIDDLE = re.compile(r"(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-])")
 DOMAIN = re.compile(BASE[0].split("@")[1])
 SCANS = (re.compile(r"(?<![0-9])" + BASE[1]), *map(re.compile, BASE[2:]))
 #: What else may be personal data; the model decides. Written-out addresses, and digits in groups.
@@ -34,8 +36,14 @@ LOOSE = (
     ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9-]+)+", re.I)),
     ("digits", re.compile(r"(?<![\w.+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![\w])")),
 )
+#: What every loose match holds.
+GATE = re.compile(r"[0-9][ ().-]{0,2}[0-9]| at |\[at\]|\(at\)", re.I)
+AT, DOT = re.compile(r"\s*[\[(]?\bat\b[\])]?\s*"), re.compile(r"\s*[\[(]?\bdot\b[\])]?\s*")
 LABELS = ("none", *KINDS)
-FEATURES = 512
+FEATURES = 1024
+#: How written-out addresses and numbers without a country code look; see :func:`masked`.
+WRITTEN = ((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" at ", " dot "))
+SEPARATED = (" ", "-", ".", ". ")
 
 
 def luhn(digits: str) -> bool:
@@ -47,14 +55,15 @@ def luhn(digits: str) -> bool:
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
-    done = at = 0
-    while (at := text.find("@", max(at, done))) >= 0:
-        start = at - LOCAL.match(text[done:at][::-1]).end()
+    done = 0
+    for at in (m.start() for m in MIDDLE.finditer(text)):
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
         m = DOMAIN.match(text, at + 1)
         if start < at and m:
             yield start, m.end()
             done = m.end()
-        at += 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -74,46 +83,90 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Base spans, and looser ones that overlap none: (start, end, kind or "")."""
+    """Base spans, and looser ones that overlap neither them nor one another:
+    (start, end, kind or "")."""
     found = base_spans(text)
-    taken = np.zeros(len(text) + 1, bool) if found else None
-    for a, b, _ in found:
-        taken[a:b] = True
-    for _, scan in LOOSE:
-        # What every loose match holds.
-        if not re.search(r"[0-9][ ().-]{0,2}[0-9]| at |\[at\]|\(at\)", text, re.I):
-            break
-        for m in scan.finditer(text):
-            if taken is None or not taken[m.start() : m.end()].any():
-                found.append((m.start(), m.end(), ""))
+    if GATE.search(text):
+        taken = np.zeros(len(text) + 1, bool)
+        for a, b, _ in found:
+            taken[a:b] = True
+        for _, scan in LOOSE:
+            for m in scan.finditer(text):
+                if not taken[m.start() : m.end()].any():
+                    found.append((m.start(), m.end(), ""))
+                    taken[m.start() : m.end()] = True
     return sorted(found)
 
 
-def features(text: str, start: int, end: int) -> list[int]:
-    """Hashed: the shape of a span, its digit count, its form and the words before it."""
-    s = text[start:end]
-    shape = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "0", s.lower()))[:24]
-    before = re.findall(r"\w+", text[max(0, start - 40) : start].lower())[-2:]
-    names = [f"shape={shape}", f"digits={sum(c.isdigit() for c in s)}", f"at={bool(re.search('@| at |.at.', s, re.I)) and not s[0].isdigit()}", *[f"before={w}" for w in before]]
-    return [int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest(), "little") % FEATURES for n in names]
+def masked(span: str, kind: str, draw: int) -> str:
+    """A base span as it might be written without what makes it one: an address
+    spelled out, a number without + and perhaps without its country code."""
+    if kind == "email":
+        at, dot = WRITTEN[draw % 4]
+        name, host = span.split("@")
+        return name + at + host.replace(".", dot)
+    if kind == "phone":
+        groups = re.findall(r"[0-9]+", span)
+        groups = groups[1:] if len(groups) > 2 and draw & 4 else groups
+        return f"0{groups[0]} {''.join(groups[1:])}" if draw % 5 == 4 else SEPARATED[draw % 4].join(groups)
+    return span
+
+
+def decoy(span: str, kind: str, draw: int) -> str | None:
+    """What has something of a masked span and is none: a place with a full stop
+    after it; bare numbers, dates, decimals, book numbers and years."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "email":
+        name, host = span.split("@")
+        return f"{name} at {host}"
+    if kind != "phone":
+        return None
+    x = (digits * 2)[:19]
+    n = draw // 8
+    return (
+        x[: 7 + n % 6], x[: 13 + n % 7], f"{1950 + n % 80}-{1 + n % 12:02}-{1 + n % 28:02} {n % 24:02}", f"{n % 90}.{x[: 6 + n % 9]}",
+        f"978-{x[0]}-{x[: 2 + n % 5]}-{x[2 + n % 5 : 8]}-{x[9]}", f"{1900 + n % 99} {1950 + n % 70} {2000 + n % 30}", f"{x[:3]}-{x[3:7]}", f"{n % 900}.{x[:3]}.{x[3:6]}",
+    )[draw % 8]
+
+
+def features(span: str, before: str, after: str) -> list[int]:
+    """Hashed: the form of a span and the words around it."""
+    low = span.lower()
+    words = [f"before={w}" for w in re.findall(r"\w+", before.lower())[-2:]] + [f"after={w}" for w in re.findall(r"\w+", after.lower())[:1]]
+    if re.search(r"[a-z]", low):
+        plain = DOT.sub(".", AT.sub("@", low))
+        host = plain.rpartition("@")[2].split(".")
+        told = (("@" in low or bool(re.search(r"[\[(]at", low))), ("." in low.rpartition("at")[2]))
+        names = ["address", f"top={len(host[-1])}", f"parts={min(4, len(host))}", f"spelled={told[0]}", f"spelled={told}", f"digits={bool(re.search('[0-9]', plain))}"]
+    else:
+        groups = [len(g) for g in re.findall(r"[0-9]+", low)]
+        n, marks = sum(groups), sorted(set(re.findall(r"[^0-9]", low)))
+        names = [f"n={n}", f"n={'short' if n < 10 else 'long' if n > 15 else 'number'}", f"groups={min(5, len(groups))}", f"last={groups[-1]}", f"shape={'-'.join(map(str, groups[-3:]))}", f"plus={'+' in marks}", f"whole={len(groups) == 1 and n >= 10}", f"dotted={marks == ['.']}", f"luhn={14 <= n <= 19 and luhn(re.sub('[^0-9]', '', low))}"]
+    return [xxhash.xxh32_intdigest(x) % FEATURES for x in [*names, *words]]
+
+
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    """Some 40 characters each way, for the neighbouring words."""
+    return text[max(0, start - 40) : start], text[end : end + 40]
 
 
 def same_token(text: str, start: int, end: int) -> str:
-    """What similar tokens share: the digits, or a written-out address undone."""
+    """What similar tokens share: a written-out address undone, or the last nine
+    digits, as country codes come and go. Numbers that differ only before these
+    pull one another to one label, which is a potential and no rule."""
     s = text[start:end].lower()
     if re.search(r"[a-z]", s):
-        s = re.sub(r"\s*[\[(]?\bat\b[\])]?\s*", "@", s)
-        return "e" + re.sub(r"\s*[\[(]?\bdot\b[\])]?\s*", ".", s)
-    # Country codes come and go: the last nine digits tell numbers apart.
+        return "e" + DOT.sub(".", AT.sub("@", s))
     digits = re.sub(r"[^0-9]", "", s)
-    return "d" + (digits[-9:] if len(digits) <= 15 and "." not in s else digits)
+    return "d" + (digits[-9:] if len(digits) <= 15 and not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s) else digits)
 
 
-def infer(unary: np.ndarray, keys: list[str], chain: float, skip: float, rounds: int = 20) -> np.ndarray:
+def infer(unary: np.ndarray, keys: list[str], chain: float, skip: float, rounds: int = 50) -> np.ndarray:
     """Label marginals by loopy message passing. Neighbours in the text share a
     ``chain`` potential and equal tokens a ``skip`` potential, both for equal
     labels. Tokens with one key meet in a factor of their own, so n repeats take
-    n messages and not n * n."""
+    n messages and not n * n. Messages are damped by half; they end when none moves
+    by 1e-4, or after ``rounds``, with what they are then."""
     n, k = unary.shape
     groups = defaultdict(list)
     for i, key in enumerate(keys):
@@ -148,106 +201,166 @@ def infer(unary: np.ndarray, keys: list[str], chain: float, skip: float, rounds:
 
 
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per candidate, in order: half of the base spans in their masked
+    form, so that the field learns what they look like without a base pattern.
+    Each has two decoys beside it, as texts of their own and of label none."""
     for b in batches:
         rows = []
         for text in b["_text"]:
-            text = text or ""
-            rows += [(LABELS.index(kind or "none"), features(text, a, z)) for a, z, kind in candidates(text)]
-        counts = defaultdict(int)
-        for label, names in rows:
-            for f in names:
-                counts[label, f] += 1
-            counts[label, -1] += 1
-        yield pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["label", "feature", "n"]).astype({"n": "int64"})
-
-
-def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Unary log potentials (label by feature; the last column is the bias) from
-    counts over all texts, labelled by the base patterns. Loose candidates count
-    as unlabelled: half of them as none. The table has a fixed size, so its
-    counts may come to the driver."""
-    counted = docs.select(F.col(text).alias("_text")).mapInPandas(_examples, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n"))
-    n = np.ones((len(LABELS), FEATURES + 1))
-    for label, feature, c in counted.collect():
-        n[label, feature] += c
-    n[0] = 1 + 0.5 * (n[0] - 1)
-    bias = np.log(n[:, -1:] / n[:, -1].sum())
-    share = np.log((n[:, :-1] + 1) / (n[:, -1:] + FEATURES))
-    # Features depend on one another: each counts as part of one observation.
-    return np.hstack([0.5 * (share - share.mean(axis=0)), bias])
-
-
-def spans(text: str | None, weights: np.ndarray, chain: float = 0.1, skip: float = 3.0, threshold: float = 0.5) -> list[tuple[int, int, str, bool]]:
+            doc = xxhash.xxh64_intdigest(text or "") >> 1
+            for a, z, kind in candidates(text or ""):
+                span, draw = text[a:z], xxhash.xxh32_intdigest(f"{doc} {a}")
+                shown = masked(span, kind, draw >> 8) if kind and draw & 1 else span
+                token = xxhash.xxh64_intdigest(same_token(text, a, z)) >> 1
+                rows.append((doc, a, LABELS.index(kind or "none"), features(shown, *around(text, a, z)), token, bool(kind)))
+                for i, other in enumerate(filter(None, (decoy(span, kind, draw >> 4), decoy(span, kind, draw >> 9)))):
+                    rows.append((doc ^ token ^ i, a, 0, features(other, *around(text, a, z)), token, True))
+        yield pd.DataFrame(rows, columns=["doc", "at", "label", "features", "token", "sure"])
+
+
+class Field:
+    """A skip-chain conditional field: unary weights (labels by features, the last
+    column a bias), and potentials for equal labels of neighbours and of equal tokens."""
+
+    def __init__(self, weights: np.ndarray, chain: float, skip: float):
+        self.weights, self.chain, self.skip = weights, chain, skip
+
+    def unary(self, found: list[list[int]]) -> np.ndarray:
+        return np.array([self.weights[:, f].sum(axis=1) + self.weights[:, -1] for f in found])
+
+
+def train(rows: pd.DataFrame, steps: int = 300, rate: float = 0.1, ridge: float = 1e-3, unlabelled: float = 0.5, prior: tuple[float, float] = (0.1, 3.0)) -> Field:
+    """Maximum pseudo-likelihood: each candidate's label given its features, its
+    neighbours' labels and those of equal tokens. Candidates of the corpus that
+    are no base span count as none, by ``unlabelled``, as some are personal data.
+    The two shared potentials are drawn to ``prior``, which is what they are
+    where a corpus has no neighbours or repeats to learn from; they stay positive."""
+    k, width = len(LABELS), FEATURES + 1
+    w, shared = np.zeros((k, width)), np.array(prior)
+    w[0, -1] = 1.0
+    if not len(rows):
+        return Field(w, *prior)
+    rows = rows.sort_values(["doc", "at"], kind="stable").drop_duplicates(["doc", "at"]).reset_index(drop=True)
+    y, n = rows["label"].to_numpy(), len(rows)
+    sizes = rows["features"].map(len).to_numpy()
+    row, at = np.repeat(np.arange(n), sizes), np.concatenate(rows["features"].to_numpy()).astype(np.int64)
+    one = np.eye(k)[y]
+    near, doc = np.zeros((n, k)), rows["doc"].to_numpy()
+    joined = (doc[1:] == doc[:-1])[:, None]
+    near[1:] += joined * one[:-1]
+    near[:-1] += joined * one[1:]
+    group = rows.groupby(["doc", "token"], sort=False).ngroup().to_numpy()
+    total = np.zeros((group.max() + 1, k))
+    np.add.at(total, group, one)
+    alike = np.minimum(total[group] - one, 1.0)
+    weight = np.where(rows["sure"], 1.0, unlabelled)[:, None]
+    theta, m, v = np.concatenate([w.ravel(), shared]), 0.0, 0.0
+    for step in range(1, steps + 1):
+        w, shared = theta[:-2].reshape(k, width), theta[-2:]
+        z = np.stack([np.bincount(row, w[c, at], minlength=n) for c in range(k)], axis=1) + w[:, -1] + shared[0] * near + shared[1] * alike
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        d = weight * (p / p.sum(axis=1, keepdims=True) - one) / n
+        g = np.stack([np.bincount(at, d[row, c], minlength=width) for c in range(k)])
+        g[:, -1] += d.sum(axis=0)
+        g = np.concatenate([(g + ridge / n * w).ravel(), [(d * near).sum(), (d * alike).sum()] + 20 / n * (shared - prior)])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        theta[-2:] = np.maximum(theta[-2:], 0.0)
+    return Field(theta[:-2].reshape(k, width), *map(float, theta[-2:]))
+
+
+def fit(docs: DataFrame, text: str = "text", max_docs: int = 50_000) -> Field:
+    """A field from about ``max_docs`` documents (all, if they are fewer), those
+    with the lowest hashes of their texts; their candidates' hashed features,
+    some 100 bytes each, come to the driver."""
+    t = F.col(f"`{text}`")
+    share = max_docs / max(1, max_docs, docs.count())
+    rows = docs.select(t.alias("_text")).filter(t.isNotNull())
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = rows.mapInPandas(_examples, "doc long, at long, label int, features array<int>, token long, sure boolean")
+    return train(pd.DataFrame([tuple(r) for r in found.collect()], columns=["doc", "at", "label", "features", "token", "sure"]))
+
+
+def spans(text: str | None, field: Field, threshold: float = 0.5) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base): base spans, which stay whatever the field says,
     and candidates whose marginal for a kind is over ``threshold``."""
     text = text or ""
     found = candidates(text)
-    if not any(not kind for *_, kind in found):
+    loose = [not kind for *_, kind in found]
+    if not any(loose):
         return [(a, b, kind, True) for a, b, kind in sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))]
-    unary = np.array([weights[:, features(text, a, b)].sum(axis=1) + weights[:, -1] for a, b, _ in found])
-    for i, (a, b, kind) in enumerate(found):
+    unary = field.unary([features(text[a:b], *around(text, a, b)) for a, b, _ in found])
+    for i, (_, _, kind) in enumerate(found):
         if kind:
             unary[i] = -30.0
             unary[i, LABELS.index(kind)] = 0.0
-        else:
-            # The prior of a candidate without base evidence is none.
-            unary[i] -= unary[i].max()
-            unary[i, 0] = max(unary[i, 0], -1.0) + 1.5
-    p = infer(unary, [same_token(text, a, b) for a, b, _ in found], chain, skip)
+    p = infer(unary, [same_token(text, a, b) for a, b, _ in found], field.chain, field.skip)
     out = []
     for (a, b, kind), q in zip(found, p, strict=True):
         best = int(q[1:].argmax()) + 1
-        if kind or q[best] > threshold:
+        if kind or 1 - q[0] > threshold:
             out.append((a, b, kind or LABELS[best], bool(kind)))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def _find(batches: Iterator[pd.DataFrame], weights: np.ndarray, redact: bool) -> Iterator[pd.DataFrame]:
+def told(found: list[tuple[int, int, str]]) -> str:
+    return ",".join(f"{k}:{a}:{z}" for a, z, k in found)
+
+
+def _find(batches: Iterator[pd.DataFrame], field: Field) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for text in b["_text"]:
-            found = spans(text, weights)
+            found = spans(text, field)
             base = [(a, z, k) for a, z, k, is_base in found if is_base]
-            told = ",".join(f"{k}:{a}:{z}" for a, z, k in base)
-            clean = text
-            if redact and found:
-                parts, at = [], 0
-                for a, z, k, _ in found:
-                    if z > at:
-                        parts += [text[at : max(at, a)], f"<{k}>" if a >= at else ""]
-                        at = z
-                clean = "".join(parts) + text[at:]
-            rows.append((*[sum(k == kind for *_, k in base) for kind in KINDS], hashlib.sha256(told.encode()).hexdigest(), ",".join(f"{k}:{a}:{z}" for a, z, k, _ in found), clean))
-        out = pd.DataFrame(rows, columns=[*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "_clean"], index=b.index)
-        yield pd.concat([b.drop(columns="_text"), out if redact else out.drop(columns="_clean")], axis=1)
-
-
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+            rows.append((*[sum(k == kind for *_, k in base) for kind in KINDS], hashlib.sha256(told(base).encode()).hexdigest(), told([x[:3] for x in found]), len(found)))
+        out = pd.DataFrame(rows, columns=[*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"], index=b.index)
+        yield pd.concat([b.drop(columns="_text"), out], axis=1)
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` per row.
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans)``
+    per row.
 
     A field over each text's candidates decides which loose ones are personal
     data; see :func:`fit` and :func:`infer`. Null and empty texts have no spans;
-    repeated rows are treated alike; an empty table gives no rows; other columns
-    are not carried."""
-    weights = fit(docs, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return rows.mapInPandas(lambda it: _find(it, weights, False), f"doc_id long, {FOUND}")
+    very long ones are searched whole, in time in proportion; of equal starts
+    the kinds' order decides; repeated rows are treated alike; an empty table
+    gives no rows; other columns are not carried."""
+    field = fit(docs, text)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
+    kinds = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
+    return rows.mapInPandas(lambda it: _find(it, field), f"doc_id long, {kinds}")
+
+
+def redacted(text: str | None, field: Field) -> str | None:
+    parts, at = [], 0
+    for a, z, kind, _ in spans(text, field):
+        if z > at:
+            parts += [text[at : max(at, a)], f"<{kind}>" if a >= at else ""]
+            at = z
+    return "".join(parts) + text[at:] if at else text
+
+
+def _clean(field: Field) -> Callable:
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redacted(t, field))
+
+    return clean
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``text`` redacted: every span becomes its
-    kind in angle brackets. ``n_chars``, if there, follows. Null stays null."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    weights = fit(rows, text)
-    seen = rows.select("_row", F.col(text).alias("_text")).mapInPandas(lambda it: _find(it, weights, True), f"_row long, {FOUND}, _clean string")
-    changed = seen.filter("spans != ''").select("_row", "_clean")
-    out = rows.join(changed, "_row", "left").withColumn(text, F.coalesce("_clean", text))
+    """All columns of ``docs``, whatever their names, with ``text`` redacted:
+    every span becomes its kind in angle brackets. ``n_chars``, if there, follows
+    where the text has changed. Only texts go through Python, in one pass; nothing
+    is written or shuffled. Null stays null; the rest is as in :func:`find`."""
+    (made,) = fresh(docs, "_clean")
+    out = docs.withColumn(made, F.pandas_udf(_clean(fit(docs, text)), "string")(F.col(f"`{text}`")))
+    named = {text: F.col(made)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_clean").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        named["n_chars"] = F.when(F.col(made) == F.col(f"`{text}`"), F.col("n_chars")).otherwise(F.coalesce(F.length(made).cast("long"), F.col("n_chars")))
+    return out.select(*[named[c].alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
