@@ -178,7 +178,7 @@ def divided(rows: DataFrame, depth: int, parts: int) -> DataFrame:
     return rows.select("fp", "side", F.explode(F.array(*bits)).alias("key"))
 
 
-def link(prints: DataFrame, bits: int = 4, few: int = 64, turns: int = 2) -> DataFrame:
+def link(prints: DataFrame, bits: int = 4, few: int = 16, turns: int = 2) -> DataFrame:
     """``(fp, root)`` for the distinct fingerprints that have a link at ``bits``
     (at most 4) or fewer differing bits; ``root`` is the smallest reached.
 

@@ -247,6 +247,34 @@ def test_simhash_links(spark):
     assert [got.get(p, p) for p in prints] == want
 
 
+def test_simhash_dense_groups(spark):
+    """Over a thousand prints round a few centres: large buckets are divided, and no
+    join makes more than some rows for each row of the buckets."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    prints = set()
+    for _ in range(3):
+        x = r.getrandbits(64)
+        while len(prints) % 400 != 399:
+            prints.add(x ^ sum(1 << b for b in r.sample(range(64), r.choice((2, 3, 6, 9)))))
+        prints.add(x)
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    got = {x.fp: x.root for x in simhash.link(spark.createDataFrame([(p,) for p in prints], "fp long"), few=4, turns=1).collect()}
+    u = np.array(prints, np.int64).view(np.uint64)
+    parent = np.arange(len(u))
+    while True:
+        least = parent.copy()
+        for i in range(len(u)):
+            least[i] = parent[np.bitwise_count(u ^ u[i]) <= 4].min()
+        if (least == parent).all():
+            break
+        parent = least
+    assert [got.get(p, p) for p in prints] == [prints[i] for i in parent]
+
+
 def plain_shingles(text, words=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
@@ -272,6 +300,21 @@ def plain_near(rows, like=0.8):
     return Counter((d, t) for *_, d, t in (min(g) for g in least.values()))
 
 
+def test_near_dedup_crowded(spark):
+    """A large group of short near copies of one text, most of them not alike by
+    pairs, in bands of over two texts: the exact join takes them."""
+    import random
+
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{r.randrange(10**6)}" if r.random() < r.choice((0.01, 0.03, 0.06)) else w for w in base)) for i in range(250)]
+    made = spark.createDataFrame([(*x, "en", "a", 0) for x in rows], SCHEMA)
+    found = minhash.grouped(made, few=2, turns=1).collect()
+    assert len({x.root for x in found}) == sum(plain_near(rows).values())
+    keep = minhash.keep_one(made)
+    assert Counter(texts(keep)) == plain_near(rows)
+
+
 def test_near_dedup(spark, docs, odd):
     """Texts at all similarities around 0.8, most of them far apart in SimHash."""
     import random
