@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import is_empty, written
+from sparrowmill.llm.common import is_empty, release, written
 from sparrowmill.sources import table
 
-MARKS = r"^[ \t]*(?:>[ \t]?)+"
+# One class and no repeated group, so that a line of any number of marks is read without recursion.
+MARKS = r"^[ \t>]*>[ \t]?"
 HEADER = r"(?i)^\s*(on .{4,200} wrote:|[-_]{2,}\s*original message\s*[-_]{2,}|.{2,80} (schrieb|a écrit|escribió)\s?:)\s*$"
 
 
@@ -23,10 +24,23 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARKS, "")), r"[\x20\x09-\x0D]+", " "))
 
 
+def parts(text: Column) -> Column:
+    """The lines of a text without those that only say whose words follow: a line
+    like "on ... wrote:" with a line of a deeper level after it, or after a blank
+    one. Without such a line after it, it is the author's own."""
+    every = F.split(F.coalesce(text, F.lit("")), "\n")
+
+    def announces(x, i):
+        near, next_ = F.get(every, i + 1), F.get(every, i + 2)
+        after = F.coalesce(F.when(near.rlike(r"^\s*$"), next_).otherwise(near), F.lit(""))
+        return F.regexp_replace(x, MARKS, "").rlike(HEADER) & (level(after) > level(x))
+
+    return F.filter(every, lambda x, i: ~announces(x, i))
+
+
 def lines(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, level, hash)`` of each line with a word, once per message."""
-    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = messages.select("conv_id", "turn", line.alias("_l")).filter(F.col("_l").rlike(r"[^\s>]") & ~F.col("_l").rlike(HEADER))
+    rows = messages.select("conv_id", "turn", F.explode(parts(F.col("text"))).alias("_l")).filter(F.col("_l").rlike(r"[^\s>]"))
     rows = rows.select("conv_id", "turn", level(F.col("_l")).alias("level"), normal(F.col("_l")).alias("_n"))
     return rows.select("conv_id", "turn", "level", F.xxhash64("_n").alias("hash")).distinct()
 
@@ -76,13 +90,13 @@ def tour(found: DataFrame) -> DataFrame:
         far = steps.select("conv_id", F.col("turn").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("_to"), F.col("to_up").alias("_up"), F.col("left").alias("_left"), F.col("done").alias("_done"))
         jumped = steps.filter("NOT done").join(far, ["conv_id", "to", "to_up"])
         jumped = jumped.select("conv_id", "turn", "up", F.col("_to").alias("to"), F.col("_up").alias("to_up"), (F.col("left") + F.col("_left")).alias("left"), F.col("_done").alias("done"))
-        steps = written(steps.filter("done").union(jumped))
+        before, steps = steps, written(steps.filter("done").union(jumped))
+        release(before)
     return steps.filter("NOT up").select("conv_id", "turn", F.col("to").alias("thread"), "left")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, clean, n_quoted, parent, quotes,
-    position)``: every
+    """``(conv_id, turn, role, clean, n_quoted, parent, quotes, position)``: every
     message without quoted lines and their headers, linked to the message that
     it answers (the one that it quotes, else the turn before) and numbered in
     reply order within its conversation.
@@ -90,13 +104,14 @@ def conversations(messages: DataFrame) -> DataFrame:
     Reply order sorts by the turn that starts a thread - a message that quotes
     joins the thread of its parent, however long the chain - and within it by
     the path from there: each message is followed by the replies that quote it,
-    these by turn. Null texts are empty; a null role stays null; repeated rows all come out, their order by
-    role and text; rows with null conv_id or turn come out without a link;
+    these by turn. Null texts are empty and very long ones are read whole; a null
+    role stays null; repeated rows all come out, their order by role and text;
+    of messages with equally many shared lines the latest is quoted; rows with null conv_id or turn come out without a link;
     empty tables give no rows; other columns are not carried."""
     rows = messages.select("conv_id", "turn", "role", "text")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    own = F.filter(parts, lambda x: ~x.rlike(MARKS) & ~x.rlike(HEADER))
-    n_quoted = F.size(F.filter(parts, lambda x: x.rlike(MARKS)))
+    said = parts(F.col("text"))
+    own = F.filter(said, lambda x: ~x.rlike(MARKS))
+    n_quoted = F.size(F.filter(said, lambda x: x.rlike(MARKS)))
     found = written(links(messages))
     turns = rows.select("conv_id", "turn").distinct().withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
     linked = turns.join(found, ["conv_id", "turn"], "left")
@@ -105,7 +120,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     else:
         linked = linked.join(tour(found), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
     rows = rows.join(linked, ["conv_id", "turn"], "left")
-    rows = rows.select("conv_id", "turn", "role", F.trim(F.array_join(own, "\n")).alias("clean"), n_quoted.cast("long").alias("n_quoted"), F.coalesce("parent", "before").alias("parent"), F.col("shared").isNotNull().alias("quotes"), "thread", "left")
+    rows = rows.select("conv_id", "turn", "role", F.btrim(F.array_join(own, "\n"), F.lit(" \t\r\n")).alias("clean"), n_quoted.cast("long").alias("n_quoted"), F.coalesce("parent", "before").alias("parent"), F.col("shared").isNotNull().alias("quotes"), "thread", "left")
     # Rows without a conversation have met no thread.
     thread = F.coalesce("thread", "turn")
     order = Window.partitionBy("conv_id").orderBy(thread.asc_nulls_first(), F.desc("left"), "turn", "role", "clean")
