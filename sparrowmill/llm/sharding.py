@@ -27,13 +27,13 @@ def splitters(rows: DataFrame, total: int, ranges: int, per_range: int = 40) ->
     return out
 
 
-def shard(df: DataFrame, shards: int = 8, key: str = "doc_id", size: str = "size", ranges_per_shard: int = 16, overfull: float = 2.0) -> DataFrame:
+def shard(df: DataFrame, shards: int = 8, key: str = "doc_id", size: str = "size", ranges_per_shard: int = 16, overfull: float = 2.0, most_rows: int = 1_000_000) -> DataFrame:
     """Adds ``shard`` (0 to shards - 1, ranges of ``key``) and ``slot`` (gapless
     in a shard) so that shards hold equal sums of ``size``, each within one row.
 
     Size-weighted sampled keys give quantile boundaries; a range of over
-    ``overfull`` times the mean, such as one repeated key, is subdivided by row
-    number. Exact byte offsets of the pieces then place every row; a shard ends
+    ``overfull`` times the mean in bytes or rows (or ``most_rows``), such as one
+    repeated key, is subdivided by row number. Exact byte offsets of the pieces then place every row; a shard ends
     where the running sum crosses its share.
 
     Null keys form one range before all others and null sizes count 0; rows
@@ -48,8 +48,10 @@ def shard(df: DataFrame, shards: int = 8, key: str = "doc_id", size: str = "size
     below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_key"))) if cuts else F.lit(0)
     placed = F.when(F.col("_key").isNull(), -1).otherwise(below).cast("int")
     rows = rows.withColumn("_range", placed)
-    mean = max(1, total // ranges)
-    full = {r["_range"]: -(-r["b"] // mean) for r in rows.groupBy("_range").agg(F.sum("_size").alias("b")).collect() if r["b"] > overfull * mean}
+    found = rows.groupBy("_range").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect()
+    # Bytes decide where shards end, rows how much one task has to sort.
+    mean_bytes, mean_rows = max(1, total // ranges), min(most_rows, max(1, sum(r["n"] for r in found) // ranges))
+    full = {r["_range"]: max(-(-r["b"] // mean_bytes), -(-r["n"] // mean_rows)) for r in found if r["b"] > overfull * mean_bytes or r["n"] > overfull * mean_rows}
     parts = F.lit(1)
     for number, n in sorted(full.items()):
         parts = F.when(F.col("_range") == number, int(n)).otherwise(parts)
@@ -70,11 +72,6 @@ def shard(df: DataFrame, shards: int = 8, key: str = "doc_id", size: str = "size
     return out.drop("_key", "_size", "_row", "_range", "_part", "_b0", "_r0", "_at", "_nth", "_first")
 
 
-def write_shards(df: DataFrame, path: str) -> None:
-    """Sharded rows as one folder per shard, in slot order."""
-    df.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
-
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
