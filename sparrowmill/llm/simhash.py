@@ -60,7 +60,8 @@ def fuzzy(v: np.ndarray) -> np.ndarray:
 
 
 def keys(fps: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(kind, side, row numbers, key values) for signed 64-bit fingerprints.
+    """(kind, side, row numbers, key values) for signed 64-bit fingerprints. A key
+    that a fingerprint has on both sides comes once, with side 2.
 
     At most four differing bits over three segments leave either one segment
     equal or two with at most one error each. Kinds 0 to 14: a segment as it is,
@@ -84,11 +85,14 @@ def keys(fps: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for k, (x, y, z) in enumerate(((0, 1, 2), (0, 2, 1), (1, 2, 0))):
         edges = [round(SEGMENTS[z][1] * i / 3) for i in range(4)]
         thirds = [(parts[z] >> a) & ((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+        own = ((exact[x] << 20) | (exact[y] << 8))[:, None]
         for side, a, b in ((0, loose[x], exact[y][:, None]), (1, exact[x][:, None], loose[y])):
             many = (a << 20) | (b << 8)
-            rows, cols = np.nonzero((a != MISSING) & (b != MISSING))
+            rows, cols = np.nonzero((a != MISSING) & (b != MISSING) & (many != own))
             for t, third in enumerate(thirds):
                 yield 15 + 3 * k + t, side, rows, many[rows, cols] | third[rows]
+        for t, third in enumerate(thirds):
+            yield 15 + 3 * k + t, 2, every, own[:, 0] | third
 
 
 def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,20 +157,12 @@ def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame | None:
 
 
 def rooted(rows: DataFrame, roots: DataFrame | None, name: str = "fp") -> DataFrame:
-    """``rows`` with the ``root`` of their column ``name``."""
+    """``rows`` with the ``root`` of their column ``name``, itself if it has none."""
     if roots is None:
         return rows.withColumn("root", F.col(name))
     return rows.join(roots.select(F.col("fp").alias(name), F.col("root").alias("_r")), name, "left").withColumn("root", F.coalesce("_r", name)).drop("_r")
 
 
-def leaders(live: DataFrame, turn: int, name: str = "fp") -> DataFrame:
-    """Rows of the buckets in which several roots meet yet, with the bucket's rows
-    ``met`` and a member drawn by hash, another each turn: ``low``, ``low_root``."""
-    drawn = F.min_by(F.struct(name, "root"), F.xxhash64(name, "key", F.lit(turn)))
-    mixed = live.groupBy("key").agg(drawn.alias("_l"), F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count("*").alias("met")).filter("_r0 < _r1")
-    return live.join(mixed.select("key", F.col(f"_l.{name}").alias("low"), F.col("_l.root").alias("low_root"), "met"), "key")
-
-
 def divided(rows: DataFrame, depth: int, parts: int) -> DataFrame:
     """Buckets divided by further bits: each goes into ``parts`` of them, by the
     values of as many parts of all 64 bits, dealt anew at each depth. Two that
@@ -178,41 +174,53 @@ def divided(rows: DataFrame, depth: int, parts: int) -> DataFrame:
     return rows.select("fp", "side", F.explode(F.array(*bits)).alias("key"))
 
 
-def link(prints: DataFrame, bits: int = 4, few: int = 16, turns: int = 2) -> DataFrame:
+def link(prints: DataFrame, bits: int = 4, few: int = 64, turns: int = 2) -> DataFrame:
     """``(fp, root)`` for the distinct fingerprints that have a link at ``bits``
     (at most 4) or fewer differing bits; ``root`` is the smallest reached.
 
     In turns, every member of a bucket is held against one of them drawn by
     hash, and what is close becomes one. This costs one comparison a member and
-    merges groups of near copies. Then, in buckets of up to ``few`` in which
-    several roots meet, pairs with different roots are compared. Larger ones are
+    merges groups of near copies. Then, in buckets of up to ``few``, pairs with
+    different roots are compared. Larger ones in which several roots meet are
     divided by further bits, which loses no link, and go round again: so no
     bucket makes more than ``few`` pairs a member, however large it is."""
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    live = written(prints.repartition(tasks).mapInPandas(_key_rows, "fp long, key long, side byte"))
+    rows = written(prints.repartition(tasks).mapInPandas(_key_rows, "fp long, key long, side byte"))
     roots, depth = None, 0
+
+    def near(a, b):
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
+
     while True:
-        for turn in range(turns):
-            held = written(leaders(rooted(live.select("key", "side", "fp"), roots), turns * depth + turn))
-            release(live)
-            live = held
-            if is_empty(live):
-                break
-            roots = merged(roots, live.filter((F.col("root") != F.col("low_root")) & near("fp", "low")).select(F.col("low_root").alias("a"), F.col("root").alias("b")))
-        held = written(leaders(rooted(live.select("key", "side", "fp"), roots), 0))
+        # Most keys have one member: only here do all rows move.
+        met = rows.groupBy("key").agg(F.count("*").alias("met"), F.min_by("fp", F.xxhash64("fp", "key", F.lit(turns * depth))).alias("low")).filter("met > 1")
+        live = written(rows.join(met, "key"))
+        release(rows)
+        if is_empty(live):
+            break
+        close = live.filter((F.col("fp") != F.col("low")) & near("fp", "low")).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+        close = rooted(rooted(close, roots, "a").withColumnRenamed("root", "ra"), roots, "b")
+        roots = merged(roots, close.select(F.col("ra").alias("a"), F.col("root").alias("b")).filter("a != b"))
+        for turn in range(1, turns):
+            tagged = rooted(live.select("key", "fp"), roots)
+            drawn = F.min_by(F.struct("fp", "root"), F.xxhash64("fp", "key", F.lit(turns * depth + turn)))
+            lead = tagged.groupBy("key").agg(drawn.alias("_l"), F.min("root").alias("_r0"), F.max("root").alias("_r1")).filter("_r0 < _r1")
+            lead = lead.select(F.col("key").alias("_key"), F.col("_l.fp").alias("low"), F.col("_l.root").alias("a"))
+            close = tagged.join(lead, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("a")) & near("fp", "low"))
+            roots = merged(roots, close.select("a", F.col("root").alias("b")))
+        tagged = written(rooted(live.select("key", "side", "fp", "met"), roots))
         release(live)
-        small = held.filter(F.col("met") <= few).select("key", "side", "fp", "root")
-        x, y = small.filter("side != 1").toDF("key", "sa", "a", "ra"), small.filter("side != 0").toDF("key", "sb", "b", "rb")
-        pairs = x.join(y, "key").filter((F.col("ra") != F.col("rb")) & near("a", "b") & ((F.col("sa") != 2) | (F.col("a") < F.col("b"))))
+        small = tagged.filter(F.col("met") <= few).drop("met")
+        x, y = small.filter("side != 1").toDF("key", "sa", "a", "ra"), small.filter("side != 0").toDF("_key", "sb", "b", "rb")
+        once = (F.col("sa") != 2) | (F.col("sb") != 2) | (F.col("a") < F.col("b"))
+        pairs = x.join(y, (F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb")) & once & near("a", "b"))
         roots = merged(roots, pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        large = held.filter(F.col("met") > few)
-        if is_empty(large):
-            release(held)
-            return roots if roots is not None else prints.select("fp", F.col("fp").alias("root")).limit(0)
-        live = written(divided(large, depth, bits + 1))
-        release(held)
+        large = tagged.filter(F.col("met") > few)
+        mixed = large.groupBy("key").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1")).filter("_r0 < _r1").select("key")
+        rows = written(divided(large.join(mixed, "key", "left_semi"), depth, bits + 1))
+        release(tagged)
         depth += 1
+    return roots if roots is not None else prints.select("fp", F.col("fp").alias("root")).limit(0)
 
 
 def grouped(rows: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:

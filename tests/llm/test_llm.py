@@ -61,6 +61,10 @@ def test_shards_hot_key_and_nulls(spark, empty):
     got = sharding.shard(df).collect()
     assert len(got) == 3000
     check_shards(got, lambda r: r["size"])
+    few = spark.range(4000).select("id", F.when(F.col("id") % 200 == 0, 100_000).otherwise(1).alias("size"), F.lit(1).alias("a.b")).toDF("doc_id", "size", "a.b")
+    got = sharding.shard(few).collect()
+    assert len(got) == 4000 and "a.b" in got[0].asDict()
+    check_shards(got, lambda r: r["size"])
     assert sharding.shard(empty.withColumn("size", F.lit(1))).count() == 0
 
 
@@ -258,7 +262,7 @@ def test_simhash_dense_groups(spark):
     prints = set()
     for _ in range(3):
         x = r.getrandbits(64)
-        while len(prints) % 400 != 399:
+        while len(prints) % 300 != 299:
             prints.add(x ^ sum(1 << b for b in r.sample(range(64), r.choice((2, 3, 6, 9)))))
         prints.add(x)
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
@@ -418,6 +422,21 @@ def test_quotes(spark):
     assert [t for _, t in sorted((r.position, t) for (c, t), r in got.items() if c == 1)] == [0, 2, 1, 3]
 
 
+def test_quotes_odd(spark):
+    """Marks without end, an announcement that nothing follows, repeats, an empty table."""
+    kind = "conv_id long, turn long, role string, text string, shared string"
+    said = "On Monday the minister wrote:"
+    rows = [(1, 0, "user", ">" * 50_000 + " x", "s"), (1, 1, "user", f"{said}\nnothing", "s"), (1, 2, "user", f"{said}\n\n> nothing\nyes", "s"), (1, 2, "user", f"{said}\n\n> nothing\nyes", "s"), (1, 3, "user", "word " * 100_000, None)]
+    got = quotes.conversations(spark.createDataFrame(rows, kind)).collect()
+    by = {r.turn: r for r in got}
+    assert len(got) == 5 and sorted(r.position for r in got) == [1, 2, 3, 4, 5]
+    assert (by[0].n_quoted, by[0].clean) == (1, "")
+    assert by[1].clean == f"{said}\nnothing"
+    assert (by[2].clean, by[2].parent, by[2].quotes, by[2].n_quoted) == ("yes", 1, True, 1)
+    assert by[3].clean == ("word " * 100_000).strip()
+    assert quotes.conversations(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_quotes_chains(spark):
     """Chains of replies that quote replies, of up to some 40 links."""
     import random
