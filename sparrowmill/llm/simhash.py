@@ -171,7 +171,7 @@ def divided(rows: DataFrame, depth: int, parts: int) -> DataFrame:
     masks = [sum(1 << int(b) for b in dealt[p::parts]) for p in range(parts)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     bits = [F.xxhash64("key", F.lit(p), F.col("fp").bitwiseAND(F.lit(m))) for p, m in enumerate(masks)]
-    return rows.select("fp", "side", F.explode(F.array(*bits)).alias("key"))
+    return rows.select("fp", "side", "root", F.explode(F.array(*bits)).alias("key"))
 
 
 def link(prints: DataFrame, bits: int = 4, few: int = 64, turns: int = 2) -> DataFrame:
@@ -192,9 +192,11 @@ def link(prints: DataFrame, bits: int = 4, few: int = 64, turns: int = 2) -> Dat
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
     while True:
-        # Most keys have one member: only here do all rows move.
-        met = rows.groupBy("key").agg(F.count("*").alias("met"), F.min_by("fp", F.xxhash64("fp", "key", F.lit(turns * depth))).alias("low")).filter("met > 1")
-        live = written(rows.join(met, "key"))
+        # Most keys have one member: only here do all rows move. A part of a bucket with one root is done.
+        root = "root" if depth else "fp"
+        drawn = F.min_by("fp", F.xxhash64("fp", "key", F.lit(turns * depth)))
+        met = rows.groupBy("key").agg(F.count("*").alias("met"), drawn.alias("low"), F.min(root).alias("_r0"), F.max(root).alias("_r1")).filter("_r0 < _r1")
+        live = written(rows.select("key", "side", "fp").join(met.select("key", "met", "low"), "key"))
         release(rows)
         if is_empty(live):
             break
