@@ -1,6 +1,7 @@
 """The text operators against plain versions over whole tables and edge cases."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -142,6 +143,67 @@ def test_pii_repeats_agree(docs):
     assert pii.infer(one, ["a", "b"], 0.0, 3.0)[0, 0] > 0.5 > pii.infer(one, ["a", "a"], 0.0, 3.0)[0, 0]
 
 
+def test_pii_loose_forms(docs):
+    """Base spans rewritten without what makes them one: found again, and little else."""
+    import random
+
+    field = pii.fit(docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    r = random.Random(3)
+    planted = hits = others = 0
+    for _, text in texts(docs):
+        out, at, size, where = [], 0, 0, []
+        for a, z, kind in pii.base_spans(text):
+            if kind in ("email", "phone") and a >= at:
+                shown = pii.masked(text[a:z], kind, r.randrange(40))
+                size += a - at
+                where.append((size, size + len(shown)))
+                out += [text[at:a], shown]
+                size, at = size + len(shown), z
+        found = [(a, b) for a, b, _, base in pii.spans("".join(out) + text[at:], field) if not base]
+        planted += len(where)
+        hits += sum(any(a < q and p < b for a, b in found) for p, q in where)
+        others += sum(not any(a < q and p < b for p, q in where) for a, b in found)
+    assert planted >= 3 and hits >= 0.9 * planted and others <= 2
+    assert not pii.spans("@" * 2_000_000, field)
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named as the operators' own, and with a dot, come through unchanged."""
+    text = "the committee met on tuesday and it was agreed that the road to the north is to be closed for the winter of this year"
+    rows = [(1, text, "a", "b", "c", "d"), (2, "zz", "a", "b", "c", "d"), (1, text, "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, votes string, _h1 string, _clean string, `a.b` string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = Counter(tuple(x) for x in out.collect())
+        assert out.columns == docs.columns
+        want = {"quality_rules": Counter({rows[0]: 2}), "near_dedup": Counter([rows[0], rows[1]])}.get(name, Counter(rows))
+        assert got == want, name
+
+
+def test_packing_encoder():
+    """Ids by ranks are those of the tokenizer, added tokens and odd characters included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._coder("byte_bpe_50k.json")
+    step = 7
+    made = ["<|endoftext|>x <|endoftext|>", "a" * 20_000, " " * 20_000, "\r\n\t 1a'S it's  ..."]
+    made += ["".join(f"a{chr(c)}1 {chr(c)}{chr(c)}  {chr(c)}b" for c in range(at, min(at + 700, 0x110000), step) if not 0xD800 <= c < 0xE000) for at in range(0, 0x110000, 700)]
+    assert all(encode(x) == plain.encode(x, add_special_tokens=False).ids for x in made)
+
+
+def test_written_tables_go(spark, docs, tmp_path):
+    """A settled step leaves its own table only."""
+    from sparrowmill.llm import common
+
+    folder = common.shared_folder(spark).removeprefix("file://") + "/sparrowmill"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = common.settled(lambda: simhash.keep_one(docs.limit(20)))
+    assert len(set(os.listdir(folder)) - before) == 1
+    common.release(out)
+    assert set(os.listdir(folder)) == before
+
+
 def plain_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
