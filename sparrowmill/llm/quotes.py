@@ -133,4 +133,48 @@ def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_quotation_links": op9_quotation_links}
-ORACLE_SQL: dict[str, str] = {}
+#: Compares passages by their words instead of hashes and sorts by whole paths,
+#: which tables of any length would not bear.
+ORACLE_SQL = {
+    "op9_quotation_links": rf"""
+WITH RECURSIVE msg AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS every FROM conversations
+), line AS (
+  SELECT id, conv_id, turn, i, every[i] AS x, regexp_replace(every[i], '{MARKS}', '') AS bare,
+    length(regexp_replace(regexp_extract(every[i], '{MARKS}'), '[^>]', '', 'g')) AS level,
+    coalesce(CASE WHEN regexp_matches(every[i + 1], '^\s*$') THEN every[i + 2] ELSE every[i + 1] END, '') AS after
+  FROM (SELECT *, unnest(range(1, len(every) + 1)) AS i FROM msg)
+), said AS (
+  SELECT id, conv_id, turn, i, x, level, trim(regexp_replace(lower(bare), '[\x20\x09-\x0D]+', ' ', 'g')) AS words FROM line
+  WHERE NOT (regexp_matches(bare, '{HEADER}') AND length(regexp_replace(regexp_extract(after, '{MARKS}'), '[^>]', '', 'g')) > level)
+), body AS (
+  SELECT id, trim(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), ' ' || chr(9) || chr(13) || chr(10)) AS clean,
+    count(*) FILTER (WHERE level > 0) AS n_quoted
+  FROM said GROUP BY id
+), passage AS (
+  SELECT DISTINCT conv_id, turn, level, words FROM said WHERE regexp_matches(x, '[^\s>]')
+), voted AS (
+  SELECT q.conv_id, q.turn, q.level, max(o.turn) AS parent
+  FROM passage q JOIN passage o ON o.conv_id = q.conv_id AND o.words = q.words AND o.level = 0 AND o.turn < q.turn
+  WHERE q.level > 0 GROUP BY q.conv_id, q.turn, q.level, q.words
+), votes AS (
+  SELECT conv_id, turn, parent, count(*) AS shared, min(level) AS level FROM voted GROUP BY conv_id, turn, parent
+), link AS (
+  SELECT conv_id, turn, parent FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, shared DESC, parent DESC) = 1
+), turns AS (
+  SELECT t.conv_id, t.turn, lag(t.turn) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS before, l.parent
+  FROM (SELECT DISTINCT conv_id, turn FROM msg) t LEFT JOIN link l ON l.conv_id = t.conv_id AND l.turn = t.turn
+), thread AS (
+  SELECT conv_id, turn, [turn] AS path FROM turns WHERE parent IS NULL
+  UNION ALL
+  SELECT t.conv_id, t.turn, list_append(p.path, t.turn) FROM turns t JOIN thread p ON p.conv_id = t.conv_id AND p.turn = t.parent
+)
+SELECT m.conv_id, m.turn, m.role, sha256(coalesce(b.clean, '')) AS clean_sha256, coalesce(b.n_quoted, 0) AS n_quoted,
+  coalesce(t.parent, t.before) AS parent, t.parent IS NOT NULL AS quotes,
+  row_number() OVER (PARTITION BY m.conv_id ORDER BY p.path NULLS FIRST, m.role NULLS FIRST, b.clean) AS position
+FROM msg m LEFT JOIN body b ON b.id = m.id
+LEFT JOIN turns t ON t.conv_id = m.conv_id AND t.turn = m.turn
+LEFT JOIN thread p ON p.conv_id = m.conv_id AND p.turn = m.turn
+""",
+}

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from compare import duck, same
 from sparrowmill.llm import decontamination, minhash, ordinal, packing, pii, quality_rules, quotes, secrets, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -520,6 +521,31 @@ def test_quotes_chains(spark):
         assert order[conv] == [t for _, t in sorted((p, t) for (c, t), p in paths.items() if c == conv)]
 
 
+def test_quotes_sql(spark, tmp_path):
+    """The given conversations as they are and with quotes of earlier turns put in, some
+    nested, announced, split or of several turns, against SQL."""
+    import random
+
+    con = duck("/root/testdata/sf0.01")
+    sql = quotes.ORACLE_SQL["op9_quotation_links"]
+    same(quotes.op9_quotation_links(spark, "/root/testdata/sf0.01"), con, sql)
+    r, said, rows = random.Random(3), defaultdict(list), []
+    for c, t, role, text in con.sql("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn").fetchall():
+        lines = [x.strip() + "." for x in text.split(".") if x.strip()]
+        quoted = []
+        for _ in range(r.choice([0, 1, 1, 2]) if said[c] else 0):
+            old = r.choice(said[c]).split("\n")
+            quoted += r.choice([[], ["On Monday someone wrote:"], ["Jemand schrieb:", ""]]) + [r.choice(["> ", ">", " >  "]) + x for x in old[: r.randrange(1, 6)]]
+        at = r.randrange(len(lines) + 1)
+        text = "\n".join([*lines[:at], *quoted, *lines[at:], *r.choice([[], ["On Tuesday nobody wrote:"], [""]])])
+        said[c].append(text)
+        rows.append((c, t, None if r.random() < 0.05 else role, None if r.random() < 0.05 else text))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = quotes.op9_quotation_links(spark, str(tmp_path))
+    assert got.filter("quotes").count() > 100
+    same(got, duck(str(tmp_path)), sql)
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(empty).count() == 0
