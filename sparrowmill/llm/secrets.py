@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowmill.llm.common import release, written
 from sparrowmill.sources import table
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
@@ -66,17 +67,26 @@ def weak_label(found: DataFrame) -> DataFrame:
 
 
 def fit(findings: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel | None:
-    """A forest on at most ``max_rows`` labelled findings, the lowest by hash.
-    None where there are not both labels to learn from."""
-    rows = findings.filter("label IS NOT NULL").select(*FEATURES, F.col("label").cast("double").alias("label"), "secret", "ordinal")
-    rows = rows.orderBy(F.xxhash64("secret", "ordinal", *FEATURES)).limit(max_rows).persist()
-    try:
-        if rows.select("label").distinct().count() < 2:
-            return None
-        made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(made)
-    finally:
-        rows.unpersist()
+    """A forest on about ``max_rows`` labelled findings, half of them of each
+    label, or all where there are fewer. Findings that look alike are one row,
+    weighted by their number, so copies of a value do not fill the sample, and
+    a label that occurs is in it: of a label's rows those with the lowest hashes
+    are taken by a threshold, without a sort. None where there are not both
+    labels to learn from."""
+    alike = findings.filter("label IS NOT NULL").groupBy(*FEATURES, F.col("label").cast("double").alias("label")).agg(F.count("*").cast("double").alias("weight"))
+    alike = written(alike)
+    counts = {r["label"]: r["count"] for r in alike.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        release(alike)
+        return None
+    below = F.lit(0)
+    for label, n in counts.items():
+        below = F.when(F.col("label") == label, int(min(1.0, max_rows / 2 / n) * (1 << 30))).otherwise(below)
+    rows = alike.filter(F.pmod(F.xxhash64(*FEATURES, F.lit(5)), F.lit(1 << 30)) < below)
+    made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(made)
+    release(alike)
+    return model
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
@@ -91,8 +101,10 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | None, thres
 
 def scan(docs: DataFrame, text: str = "text", path: str = "source") -> DataFrame:
     """Every candidate with its probability of being a secret. Null and empty
-    texts have none; a null path counts as empty; repeated rows are all
-    reported; an empty table gives no rows; other columns are not carried."""
+    texts have none; a very long one is read whole, and all its candidates come
+    out; a null path counts as empty; repeated rows are all reported, and alike;
+    at a probability of exactly one half a candidate is reported; an empty table
+    gives no rows; other columns are not carried."""
     found = candidates(docs, text, path)
     return judge(found, fit(weak_label(found)))
 

@@ -476,6 +476,18 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_copies(spark):
+    """Copies of one placeholder, far more than the sample takes, and a few secrets."""
+    tokens = [f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(30)]
+    words = [f'password = "{w}{v}documentation"' for w in secrets.DICTIONARY[:20] for v in secrets.DICTIONARY[20:22]]
+    rows = [(i, t, None) for i, t in enumerate(['api_key = "example_example_example"'] * 3000 + tokens + words)]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    model = secrets.fit(secrets.weak_label(found), max_rows=50)
+    assert model is not None
+    got = secrets.judge(found, model).select("doc_id", "reported").collect()
+    assert sorted(r.doc_id for r in got if r.reported) == list(range(3000, 3030))
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there, how are you?"), (1, 1, "assistant", "Fine, thanks."), (1, 2, "user", "> Hello there,  how ARE you?\nAs I said."), (1, 3, "user", "On Monday X wrote:\n> > Hello there, how are you?\n> Fine, thanks.\nGood."), (2, 0, "user", None), (None, None, None, None)]
     got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
