@@ -79,8 +79,8 @@ def _added(batches: Iterator[pd.DataFrame], least: int, crowded: int) -> Iterato
 
 
 def _pointers(batches: Iterator[pd.DataFrame], most_words: int, frequent: np.ndarray, crowded: np.ndarray) -> Iterator[pd.DataFrame]:
-    """``(lang, pointer, n, split)``: the words from each place on, as far as each
-    and the next make a pair that can be frequent, and how often they come."""
+    """``(lang, pointer, split)``: the words from each place on, as far as each and
+    the next make a pair that can be frequent."""
     frequent, crowded = np.unpackbits(frequent).view(bool), np.unpackbits(crowded).view(bool)
     for b in batches:
         for lang, data in parts(b):
@@ -92,15 +92,9 @@ def _pointers(batches: Iterator[pd.DataFrame], most_words: int, frequent: np.nda
             at = np.flatnonzero(size)
             if not len(at):
                 continue
-            # Equal pointers become one, word by word.
-            group = np.zeros(len(at), np.int64)
-            for k in range(most_words):
-                here = np.where(k <= size[at], codes[np.minimum(at + k, len(codes) - 1)], 0)
-                _, first, group, n = np.unique(group * len(words) + here, return_index=True, return_inverse=True, return_counts=True)
-            at = at[first]
             told = [w.decode("utf-8", "surrogatepass") for w in words]
             texts = [" ".join([told[c] for c in codes[i : i + k + 1].tolist()]) for i, k in zip(at.tolist(), size[at].tolist(), strict=True)]
-            yield pd.DataFrame({"lang": lang, "pointer": texts, "n": n, "split": crowded[slot[at]]})
+            yield pd.DataFrame({"lang": lang, "pointer": texts, "split": crowded[slot[at]]})
 
 
 def grow(prefix: str, depth: int, pointers: list[tuple[list[str], int]], least: int) -> Iterator[tuple[str, int]]:
@@ -119,21 +113,21 @@ def grow(prefix: str, depth: int, pointers: list[tuple[list[str], int]], least:
 
 
 def _grown(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    held: dict[str, int] = {}
-    now: tuple = (None, None, False)
+    held: list[tuple[list[str], int]] = []
+    now: tuple = ()
 
     def done() -> list[tuple[str, str, int]]:
-        lang, prefix, split = now
-        own = [(p.split(" "), n) for p, n in held.items()]
-        return [(lang, phrase, n) for phrase, n in grow(" ".join(prefix.split(" ", 2)[:2]), 2, own, 1 if split else least)] if own else []
+        if not held:
+            return []
+        return [(now[0], phrase, n) for phrase, n in grow(" ".join(held[0][0][:2]), 2, held, 1 if now[2] else least)]
 
     for b in batches:
         out = []
         for lang, prefix, split, pointer, n in zip(b["lang"], b["prefix"], b["split"].tolist(), b["pointer"], b["n"].tolist(), strict=True):
             if (lang, prefix, split) != now:
                 out += done()
-                held, now = {}, (lang, prefix, split)
-            held[pointer] = held.get(pointer, 0) + n
+                held, now = [], (lang, prefix, split)
+            held.append((pointer.split(" "), n))
         yield pd.DataFrame(out, columns=["lang", "phrase", "n"])
     yield pd.DataFrame(done(), columns=["lang", "phrase", "n"])
 
@@ -144,11 +138,12 @@ def frequencies(df: DataFrame, text: str = "text", lang: str = "lang", most_word
 
     One pass counts words, and pairs of words by hash in 16 million slots: tables
     of one size whatever the input. A second makes a pointer of every place from
-    which pairs go on that can be frequent by their slots. Pointers are dealt by
-    their first two words and each such prefix is grown in one task. A prefix
-    whose slot has over ``crowded`` pairs goes to many tasks, by whole pointers,
-    and the counts found there are added up. No more than ``crowded`` pointers
-    are ever held, and counts are exact: slots only rule out what cannot be."""
+    which pairs go on that can be frequent by their slots. Equal pointers are
+    added up, before and after a shuffle, then dealt by their first two words,
+    and each such prefix is grown in one task. A prefix whose slot has over
+    ``crowded`` pairs goes to many tasks, by whole pointers, and the counts found
+    there are added up. No more than ``crowded`` pointers are ever held, and
+    counts are exact: slots only rule out what cannot be."""
     if not 0 < least <= crowded <= 65_534:
         raise ValueError("0 < least <= crowded <= 65534 is needed: slots count so far")
     rows = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -159,9 +154,10 @@ def frequencies(df: DataFrame, text: str = "text", lang: str = "lang", most_word
     for block, *own in added.collect():  # of one size: 4 MB
         bits[:, block] = [np.frombuffer(x, np.uint8) for x in own]
     frequent, full = bits.reshape(2, -1)
-    found = rows.mapInPandas(lambda it: _pointers(it, most_words, frequent, full), "lang string, pointer string, n long, split boolean")
-    found = found.withColumn("prefix", F.when(F.col("split"), F.col("pointer")).otherwise(F.substring_index("pointer", " ", 2)))
-    found = found.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix", "split")
+    found = rows.mapInPandas(lambda it: _pointers(it, most_words, frequent, full), "lang string, pointer string, split boolean")
+    found = found.groupBy("lang", "pointer", "split").agg(F.count("*").alias("n"))
+    prefix = F.when(F.col("split"), F.col("pointer")).otherwise(F.substring_index("pointer", " ", 2))
+    found = found.repartition("lang", prefix).withColumn("prefix", prefix).sortWithinPartitions("lang", "prefix", "split")
     grown = found.mapInPandas(lambda it: _grown(it, least), "lang string, phrase string, n long")
     phrases = grown.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).union(words).filter(F.col("f") >= least)
     return written(phrases), words.groupBy("lang").agg(F.sum("f").alias("n"))
