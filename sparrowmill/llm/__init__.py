@@ -4,9 +4,9 @@ import sys
 
 from pyspark import cloudpickle
 
-from sparrowmill.llm import collocations, decontamination, ordinal, packing, pii, quality_rules, quotes, runs, secrets, sharding, simhash, toxicity
+from sparrowmill.llm import collocations, decontamination, neighbours, ordinal, packing, pii, quality_rules, quotes, runs, secrets, sharding, simhash, toxicity
 
-MODULES = (sharding, quality_rules, pii, decontamination, secrets, ordinal, toxicity, simhash, quotes, packing, collocations, runs)
+MODULES = (sharding, quality_rules, pii, decontamination, secrets, ordinal, toxicity, simhash, quotes, packing, collocations, neighbours, runs)
 # Functions go to the executors with all they need: the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

@@ -1,0 +1,102 @@
+"""Nearest vectors against all products."""
+
+import math
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from sparrowmill.llm import neighbours
+
+SCHEMA = "vec_id long, embedding array<float>, rank string, v int"
+
+
+def plain(rows, k=20, wanted=lambda i: i % 20 == 0):
+    """Query to [(id, product)] of all others, best first."""
+    good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, q in good:
+        if wanted(i):
+            best = defaultdict(lambda: -math.inf)
+            for j, x in good:
+                if i != j:
+                    best[j] = max(best[j], float((x * q).sum()))
+            both = dict(out.get(i, []))
+            out[i] = [(j, max(s, both.get(j, -math.inf))) for j, s in best.items()]
+    return {i: sorted(v, key=lambda x: (-x[1], x[0]))[:k] for i, v in out.items()}
+
+
+def got(df):
+    out = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        assert r["rank"] == len(out[r.query_id]) + 1
+        out[r.query_id].append((r.vec_id, r.score))
+    return out
+
+
+def recall(found, want):
+    assert set(found) == set(want)
+    hits = total = 0
+    for q, near in want.items():
+        assert len(found[q]) == len(near)
+        assert found[q] == sorted(found[q], key=lambda x: (-x[1], x[0])) and len({j for j, _ in found[q]}) == len(near)
+        hits += len({j for j, _ in near} & {j for j, _ in found[q]})
+        total += len(near)
+    return hits / total
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_recall(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    df = neighbours.op12_neighbours(spark, f"/root/testdata/{sf}")
+    assert df.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    found, vectors = got(df), {i: np.array(v, np.float64) for i, v in rows}
+    assert recall(found, plain(rows)) >= 0.92
+    assert all(abs(s - float(vectors[q] @ vectors[j])) < 1e-12 for q, near in found.items() for j, s in near)
+
+
+def test_neighbours_finds_clusters(spark):
+    # Real vectors lie in clusters: few buckets are visited, and nearly all is found.
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 24)) * 3
+    x = np.vstack([c + 0.3 * rng.standard_normal((100, 24)) for c in centres]) * rng.uniform(0.8, 1.2, (4000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.float32(x).astype(float))]
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA)
+    found = got(neighbours.search(df, df.filter("vec_id % 20 = 0"), bucket=64))
+    assert recall(found, plain(rows)) >= 0.95
+
+
+@pytest.mark.parametrize("most", [2048, 7])
+def test_neighbours_odd_rows(spark, most):
+    nan, inf = math.nan, math.inf
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(120)]  # many equal vectors
+    rows += [(200 + i, v) for i, v in enumerate([None, [], [0.0, 0.0, 0.0], [nan, 1.0, 1.0], [inf, 1.0, 1.0], [None, 1.0, 1.0]])]
+    rows += [(None, [1.0, 1.0, 1.0]), (20, [0.0, 5.0, 0.5]), (40, rows[40][1]), (-20, [-1.0, -1.0, -9.0]), (7000, [9e5, 1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in [*rows, (300, [1.0, 2.0])]], SCHEMA)
+    found = got(neighbours.search(df, df.filter("vec_id % 20 = 0"), bucket=16, recall=0.999999, most=most))
+    want = plain(rows)
+    assert -20 in want and found == want
+
+
+def test_neighbours_few_rows(spark):
+    rows = [(20 * i, [1.0, float(i)]) for i in range(5)]
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA)
+    assert got(neighbours.search(df, df)) == plain(rows)
+    assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
+    assert neighbours.search(df, df.limit(0)).count() == 0
+    assert neighbours.search(df.limit(1), df.limit(1)).count() == 0
+
+
+def test_probes_come_by_chance():
+    rng = np.random.default_rng(1)
+    index = neighbours.Index(rng.standard_normal((2, 3, 6)), rng.uniform(0, 1, (2, 3)), 1.0, 1.0, 0.7, 0.9)
+    q = rng.standard_normal(5)
+    keys, places = index.probes(q)
+    assert len(set(keys.tolist())) == len(keys) and (places == 0).sum() == 2
+    # Of points at the radius from the query the probes of a table meet its mass.
+    x = np.hstack([q / np.linalg.norm(q), [0]]) + 0.7 * (lambda g: g / np.linalg.norm(g, axis=1)[:, None])(rng.standard_normal((4000, 6)))
+    met = []
+    for t, (d, b) in enumerate(zip(index.directions, index.shifts, strict=True)):
+        mine = keys[: int(np.flatnonzero(places == 0)[1])] if t == 0 else keys[int(np.flatnonzero(places == 0)[1]) :]
+        met.append(np.isin(index.keys(np.floor((x @ d.T + b) / index.width), t), mine).mean())
+    assert 0.8 < np.mean(met) < 1
