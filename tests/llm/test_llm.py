@@ -193,6 +193,21 @@ def test_packing_encoder():
     assert all(encode(x) == plain.encode(x, add_special_tokens=False).ids for x in made)
 
 
+def test_packing_encoder_blanks():
+    """Runs of white space of megabytes, alone and within text, have the tokenizer's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._coder("byte_bpe_50k.json")
+    made = [" " * 5_000_000, "\t" * 1_200_000, "a\n" + "\n" * 1_200_000, "x." + " \n\t\r" * 300_000 + "y 1"]
+    for c in (" ", "\t", "\n", "\u2003", "\x85", "\x1c", "\xa0 ", " \n"):
+        for n in (9_999, 10_000, 10_001, 20_000):
+            run = (c * n)[:n]
+            made += [f"ab{run}cd", f"{run}é", f"1{run}", f"..{run}'s{run}!{run} {run}"]
+    for x in made:
+        assert encode(x) == plain.encode(x, add_special_tokens=False).ids, (len(x), x[:3])
+
+
 def test_written_tables_go(spark, docs, tmp_path):
     """A settled step leaves its own table only."""
     from sparrowmill.llm import common
@@ -406,17 +421,23 @@ def test_packing(request, which):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    df = request.getfixturevalue(which).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    df = request.getfixturevalue(which)
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(df).collect()
     parts, seqs = defaultdict(list), defaultdict(list)
     for r in got:
         parts[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist(), r.length, r.doc_tokens))
         seqs[r.sequence_id].append((r.offset, r.length))
+    want = defaultdict(list)
     for d, t in texts(df):
-        ids = [x for _, part, n, whole in sorted(parts.pop(d)) for x in part]
-        assert ids == [*coder.encode(t or "", add_special_tokens=False).ids, 0]
-    assert not parts
+        want[d].append([*coder.encode(t or "", add_special_tokens=False).ids, 0])
+    assert set(parts) == set(want)
+    for d, ids in want.items():
+        # Rows of one id here have equal texts: each place of theirs comes once for each.
+        assert all(x == ids[0] for x in ids)
+        places = Counter(at for start, piece, n, whole in parts[d] for at in range(start, start + n))
+        assert places == Counter({at: len(ids) for at in range(len(ids[0]))})
+        assert all(piece == ids[0][start : start + n] and whole == len(ids[0]) for start, piece, n, whole in parts[d])
     total = 0
     for pieces in seqs.values():
         at = 0
@@ -428,6 +449,41 @@ def test_packing(request, which):
     assert len(seqs) * 1024 - total < 2 * 1024
 
 
+def test_packing_balance():
+    """Every piece goes, longest first, to the cheapest sequence with room."""
+    import random
+
+    r = random.Random(10)
+    for _ in range(200):
+        lengths = [r.randrange(1, 65) for _ in range(r.randrange(1, 60))]
+        bins = -(-sum(lengths) // 64)
+        cost, used, cut = [0.0] * bins, [0] * bins, []
+        for p in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
+            n = lengths[p]
+            room = [i for i in range(bins) if 64 - used[i] >= n]
+            if room:
+                i = min(room, key=lambda i: (cost[i], i))
+                cut.append((p, 0, n, i, used[i]))
+            else:
+                at = 0
+                for i in sorted((i for i in range(bins) if used[i] < 64), key=lambda i: (used[i], i)):
+                    if take := min(n - at, 64 - used[i]):
+                        cut.append((p, at, take, i, used[i]))
+                        at += take
+            for q, _, m, i, _ in cut[::-1]:
+                if q != p:
+                    break
+                used[i] += m
+                cost[i] += m + m * m / 64
+        assert packing.balance(lengths, 64, 1.0, 1 / 64) == cut
+
+
+def test_packing_white_space(spark):
+    rows = [(1, " " * 1_500_000), (2, "a" + "\n" * 1_100_000 + "b"), (3, "c")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3] and all(r.n == r.whole for r in got)
+
+
 def test_toxicity(spark, docs):
     got = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
