@@ -70,6 +70,61 @@ def test_shards_hot_key_and_nulls(spark, empty):
     assert sharding.shard(empty.withColumn("size", F.lit(1))).count() == 0
 
 
+def check_key_order(rows):
+    """Shards are ranges of the key: neighbours share one key at most."""
+    low, high = {}, {}
+    for r in rows:
+        if r.doc_id is not None:
+            low[r.shard], high[r.shard] = min(r.doc_id, low.get(r.shard, r.doc_id)), max(r.doc_id, high.get(r.shard, r.doc_id))
+    used = sorted(low)
+    assert all(high[a] <= low[b] for a, b in zip(used, used[1:], strict=False))
+
+
+def test_shards_are_key_ranges(spark):
+    n = F.col("id")
+    skewed = {
+        "bytes": spark.range(4000).select(n.alias("doc_id"), F.when(n % 200 == 0, 100_000).otherwise(1).alias("size")),
+        "rows": spark.range(6000).select(F.when(n < 3000, n % 700).otherwise(n * 1000).alias("doc_id"), F.when(n < 3000, 0).otherwise(50).alias("size")),
+        "both": spark.range(6000).select(F.when(n < 2500, 4321).when(n < 3500, n).otherwise(n * n).alias("doc_id"), F.when(n % 97 == 0, 5000).otherwise(n % 7).alias("size")),
+        "two keys": spark.range(3000).select(F.when(n < 5, 1).otherwise(2).alias("doc_id"), F.lit(3).alias("size")),
+    }
+    for name, df in skewed.items():
+        got = sharding.shard(df.withColumn("size", F.col("size").cast("long"))).collect()
+        assert len(got) == df.count(), name
+        check_shards(got, lambda r: r["size"])
+        check_key_order(got)
+
+
+def test_shards_divide_overfull_ranges_by_key(spark):
+    from sparrowmill.llm.common import written
+
+    n = F.col("id")
+    df = spark.range(8000).select(F.when(n < 1000, 500).otherwise(n * n).alias("_key"), F.when(n % 1000 == 0, 20_000).otherwise(1).cast("long").alias("_size"), n.alias("_row"))
+    rows, parts = sharding.ranged(written(df), 32, 2.0, 1_000_000, 40, 4)
+    found = rows.groupBy("_range").agg(F.sum("_size").alias("b"), F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")).collect()
+    total, ordered = sum(r.b for r in found), sorted(found, key=lambda r: r["_range"])
+    assert all(a.high < b.low for a, b in zip(ordered, ordered[1:], strict=False))
+    for r in found:
+        if r.low == r.high:
+            assert parts.get(r["_range"], 1) >= r["n"] // 500
+        else:
+            assert r.b <= 2 * total // 32 and r.n <= 2 * 8000 // 32
+    assert len(found) < 200
+
+
+def test_shards_odd_documents(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op1_shard_documents(spark, str(tmp_path)).collect()
+    want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ODD)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    check_shards(got, lambda r: r.size)
+    check_key_order(got)
+    words = spark.range(500).select(F.concat(F.lit("é"), (F.col("id") % 90).cast("string")).alias("doc_id"), F.lit(2).alias("size"))
+    got = sharding.shard(words).collect()
+    check_shards(got, lambda r: r["size"])
+    check_key_order(got)
+
+
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
