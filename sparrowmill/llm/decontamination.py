@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,27 +55,90 @@ def budget_of(length: int, per_error: int = 12, exact_below: int = 24) -> int:
     return length // per_error if length >= exact_below else 0
 
 
+#: A run of so many characters is common if more than so many items of a block have it.
+GRAM, COMMON = 6, 4
+#: Shorter runs, and the length of the stretches of a text in which they are looked up.
+SHORT, STRETCH = 4, 1024
+_SLOTS, _SHORT_SLOTS = 1 << 23, 1 << 16
+
+
+def grams(text: str, size: int, slots: int) -> np.ndarray:
+    """A slot for each run of ``size`` characters, by hash."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, len(c) - size + 1), np.uint64)
+    for i in range(size):
+        h = (h + c[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return (h & np.uint64(slots - 1)).astype(np.int64)
+
+
+def rare_pieces(item: str, budget: int, rare: np.ndarray) -> list[tuple[int, str]] | None:
+    """budget + 1 pieces, with their places, each with a ``rare`` run in it, or None
+    if there are too few such runs that do not overlap. So many pieces do not have
+    to cover the item: that many edits leave one of them as it is anyway."""
+    starts, free = [], 0
+    for at in np.flatnonzero(rare).tolist():
+        if at >= free:
+            starts.append(at)
+            free = at + GRAM
+    if len(starts) <= budget:
+        return None
+    starts = [starts[round(i * (len(starts) - 1) / max(1, budget))] for i in range(budget + 1)]
+    return [(a, item[a:b]) for a, b in zip(starts, [*starts[1:], len(item)], strict=True)]
+
+
 class Searcher:
     """The items of a block, ready to be looked for in texts. An item with k
-    edits allowed is split into k + 1 pieces; one of them must occur as it is."""
+    edits allowed is split into k + 1 pieces; one of them must occur as it is.
+    Pieces that many items have would send a text that has them to all of these.
+    So items with such pieces are cut where runs are rare, if there are enough.
+    Of others that share a piece, those come into question whose runs of ``SHORT``
+    characters side by side are, all but k, somewhere in the text around it."""
 
     def __init__(self, items: list[tuple[int, str]], per_error: int):
         import ahocorasick
 
         self.texts, self.spots = {}, {}
         for item_id, text in items:
-            if not (text := normal(text)):
-                continue
-            k = budget_of(len(text), per_error)
-            self.texts[item_id] = (text, k)
-            for at, piece in pieces(text, k) if k else [(0, f" {text} ")]:
+            if text := normal(text):
+                self.texts[item_id] = (text, budget_of(len(text), per_error))
+        cut = {item_id: pieces(text, k) if k else [(0, f" {text} ")] for item_id, (text, k) in self.texts.items()}
+        owners = Counter(piece for own in cut.values() for _, piece in own)
+        if crowded := [i for i, own in cut.items() if self.texts[i][1] and any(owners[piece] > COMMON for _, piece in own)]:
+            seen = np.zeros(_SLOTS, np.uint8)
+            for text, _ in self.texts.values():
+                slots = np.unique(grams(text, GRAM, _SLOTS))
+                seen[slots] = np.minimum(seen[slots], 254) + 1
+            for i in crowded:
+                text, k = self.texts[i]
+                cut[i] = rare_pieces(text, k, seen[grams(text, GRAM, _SLOTS)] <= COMMON) or cut[i]
+        for item_id, own in cut.items():
+            for at, piece in own:
                 self.spots.setdefault(piece, []).append((item_id, at, len(piece)))
+        self.short = {i: grams(self.texts[i][0], SHORT, _SHORT_SLOTS)[::SHORT] for i in crowded}
+        self.reach = max((len(t) + 2 * k for t, k in (self.texts[i] for i in crowded)), default=0)
         self.found = ahocorasick.Automaton()
         for piece, where in self.spots.items():
             self.found.add_word(piece, where)
         if self.spots:
             self.found.make_automaton()
 
+    def _around(self, text: str, stretch: int) -> np.ndarray:
+        """Which short runs are in this stretch of a text and as far from it as a match can reach."""
+        there = np.zeros(_SHORT_SLOTS, np.int8)
+        there[grams(text[max(0, stretch * STRETCH - self.reach) : (stretch + 1) * STRETCH + self.reach], SHORT, _SHORT_SLOTS)] = 1
+        return there
+
+    def _possible(self, where: list[tuple[int, int, int]], there: np.ndarray) -> list[tuple[int, int, int]]:
+        """Those of a piece's items that can match where these short runs are."""
+        crowd = [x for x in where if x[0] in self.short]
+        if not crowd:
+            return where
+        own = [self.short[i] for i, *_ in crowd]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        missing = sizes - np.add.reduceat(there[np.concatenate(own)], np.cumsum(sizes) - sizes, dtype=np.int64)
+        return [x for x, n in zip(crowd, missing.tolist(), strict=True) if n <= self.texts[x[0]][1]] + [x for x in where if x[0] not in self.short]
+
     def best(self, text: str | None, one: bool = False) -> dict[int, tuple[int, int]]:
         """Item to (distance, place) of its best match; with ``one``, the search
         ends at the first match of any item."""
@@ -83,7 +148,16 @@ class Searcher:
         text = f" {normal(text)} "
         # A place is tried once for hits that point to about the same start.
         tried = set()
+        possible: dict[tuple[int, int], list] = {}
+        around: dict[int, np.ndarray] = {}
         for end, where in self.found.iter(text):
+            if len(where) > COMMON:
+                stretch = end // STRETCH
+                if stretch not in around:
+                    around = {stretch: self._around(text, stretch)}
+                if (id(where), stretch) not in possible:
+                    possible[id(where), stretch] = self._possible(where, around[stretch])
+                where = possible[id(where), stretch]
             for item_id, at, size in where:
                 if one and best:
                     return best
@@ -134,7 +208,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, row: str = "_row", text: str
     zone's.
 
     Items go to the tasks in blocks of at most about ``block_chars`` characters.
-    A block has a pass over the texts of its own, and its matches are written
+    Items with pieces that many of a block share are cut at rare runs instead. A
+    block has a pass over the texts of its own, and its matches are written
     before the next one is fetched, so what the driver or a task holds does not
     grow with the benchmark. Items under 24 characters have to occur word for
     word; null and empty items and texts match nothing; very long texts are

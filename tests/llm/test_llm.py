@@ -315,6 +315,58 @@ def test_decontamination(spark, docs):
     assert decontamination.clean(both, bench.limit(0)).count() == both.count()
 
 
+def plain_best(items, text, per_error=12):
+    """Item to its least distance, by Myers' columns over the whole text."""
+    out, text = {}, decontamination.normal(text)
+    for item_id, item in items:
+        item = decontamination.normal(item)
+        k = decontamination.budget_of(len(item), per_error)
+        d = decontamination.myers(item, text)[0] if item and k else 0 if item and f" {item} " in f" {text} " else None
+        if d is not None and d <= k:
+            out[item_id] = d
+    return out
+
+
+def test_decontamination_templates():
+    """Items of one opening: matches as ever, and the opening alone costs little."""
+    import random
+    import time
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    opening = " ".join(word() for _ in range(40))
+    items = [(i, f"{opening} {' '.join(word() for _ in range(30))}") for i in range(400)]
+    searcher = decontamination.Searcher(items, 12)
+    start = time.process_time()
+    assert searcher.best(" ".join([opening] * 15)) == {}
+    assert time.process_time() - start < 1.5  # 5.5 with a run for every item and place
+    # Short and long openings, tails too short for rare pieces, edits of all kinds.
+    for tail in (0, 2, 5, 12):
+        few = [(i, f"{opening[: r.choice((40, 90, 200))]} {' '.join(word() for _ in range(tail))}") for i in range(12)]
+        searcher = decontamination.Searcher(few, 12)
+        for _ in range(12):
+            text = list(f"{word()} {r.choice(few)[1]} {word()} {r.choice(few)[1]} {word()}")
+            for _ in range(r.choice((0, 1, 4, 9, 15))):
+                at = r.randrange(len(text))
+                text[at : at + r.choice((0, 1))] = r.choice(("", "x", "yz"))
+            text = "".join(text)
+            assert {i: d for i, (d, _) in searcher.best(text).items()} == plain_best(few, text)
+
+
+def test_decontamination_odd_rows(spark, empty):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards box quietly"
+    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, " .,")], "item_id long, text string")
+    long = "lorem ipsum dolor " * 30_000
+    rows = [(1, long + item + " " + long), (2, f"a {item.replace('fox', 'fax')} b"), (2, f"a {item.replace('fox', 'fax')} b"), (3, None), (4, ""), (None, "Short, ONE!"), (5, item[:40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.matches(docs, bench, row="doc_id").collect()
+    assert Counter((r["_row"], r["item_id"], r["distance"]) for r in found) == Counter({(1, 1, 0): 1, (2, 1, 1): 2, (None, 2, 0): 1})
+    assert [r["at"] for r in found if r["_row"] == 1] == [len(decontamination.normal(long)) + 2]
+    assert Counter(x.doc_id for x in decontamination.clean(docs, bench).collect()) == Counter([3, 4, 5])
+    assert decontamination.matches(empty, bench, row="doc_id").count() == 0 and decontamination.clean(empty, bench).count() == 0
+    assert decontamination.matches(docs, bench.limit(0), row="doc_id").count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == len(rows)
+
+
 def test_decontamination_ids(spark):
     """Texts without an id, or under one with a longer text, or under several."""
     item = "the quick brown fox number {} jumps over the lazy dog near river {}"
@@ -452,6 +504,31 @@ def test_near_dedup_crowded(spark):
     assert Counter(texts(keep)) == plain_near(rows)
 
 
+def test_exact_pairs(spark):
+    """Of short near copies of one text all similar pairs are among the exact ones, whichever root is largest."""
+    import random
+
+    r = random.Random(13)
+    base = [f"w{r.randrange(900)}" for _ in range(60)]
+    rows = []
+    for i in range(240):
+        w = list(base[: r.choice((60, 60, 52))])
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"v{r.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    rare = minhash.rare_keys(spark.createDataFrame(rows, "rep long, _text string"), 5, 0.8)
+    sets = {i: minhash.shingles(minhash.split(t), 5) for i, t in rows}
+    for merged in (0, 80):  # so many texts are of one root
+        roots = {i: 0 if i < merged else i for i in sets}
+        got = {tuple(p) for p in minhash.exact_pairs(rare.withColumn("root", F.when(F.col("rep") < merged, 0).otherwise(F.col("rep"))), 0.8).collect()}
+        assert all(roots[a] != roots[b] for a, b in got)
+        for a in sets:
+            for b in range(a + 1, len(rows)):
+                both = len(sets[a] & sets[b])
+                if roots[a] != roots[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                    assert (a, b) in got
+
+
 def test_near_dedup(spark, docs, odd):
     """Texts at all similarities around 0.8, most of them far apart in SimHash."""
     import random
