@@ -12,11 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.common import labelled
+from sparrowmill.llm.common import labelled, release, written
 from sparrowmill.sources import table
 
 TOKEN = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
+#: What cross-validation chooses from, the first of equally good ones: prior, drift, least score of a segment.
+GRID = [(prior, drift, least) for prior in (1.0, 3.0, 10.0) for drift in (0.1, 0.3) for least in (1.0, 2.0)]
+FOLDS = 4
 
 
 def bucket(token: str) -> int:
@@ -26,13 +29,13 @@ def bucket(token: str) -> int:
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         n = {}
-        for text, label in zip(b["_text"], b["label"], strict=True):
+        for text, label, fold in zip(b["_text"], b["label"], b["fold"], strict=True):
             for token in set(TOKEN.findall((text or "").lower())):
-                n[token, label] = n.get((token, label), 0) + 1
-        yield pd.DataFrame([(bucket(t), int(label), c) for (t, label), c in n.items()], columns=["bucket", "label", "n"])
+                n[token, label, fold] = n.get((token, label, fold), 0) + 1
+        yield pd.DataFrame([(bucket(t), int(label), int(fold), c) for (t, label, fold), c in n.items()], columns=["bucket", "label", "fold", "n"])
 
 
-def log_odds(counts: pd.DataFrame, prior: float = 3.0, drift: float = 0.2, most: float = 6.0) -> np.ndarray:
+def log_odds(counts: pd.DataFrame, prior: float, drift: float, most: float = 6.0) -> np.ndarray:
     """Per bucket, the log odds of toxic against other text under a Dirichlet
     prior of ``prior`` tokens a bucket, dealt to the two as their totals are, so
     that an unseen token scores 0; less ``drift``, which makes the expected
@@ -71,7 +74,7 @@ class Scorer:
     parameters of the best segment's score over ``n`` tokens of clean text:
     P(score >= s) = 1 - exp(-size * n * exp(-rate * s))."""
 
-    def __init__(self, odds: np.ndarray, least: float = 1.5):
+    def __init__(self, odds: np.ndarray, least: float):
         self.odds, self.least, self.cache = odds, least, {}
         self.rate, self.size, self.slope, self.base = 1.0, 1.0, 1.0, 0.0
 
@@ -110,48 +113,83 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _read(batches: Iterator[pd.DataFrame], scorer: Scorer) -> Iterator[pd.DataFrame]:
+def _tried(batches: Iterator[pd.DataFrame], odds: dict[tuple[float, float, int], np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Each text read with every choice by a model that has not seen its fold."""
+    least = min(g[2] for g in GRID)
+    scorers = {k: Scorer(o, least) for k, o in odds.items()}
     for b in batches:
-        rows = [(n, [s for *_, s in found]) for n, found in map(scorer.read, b["_text"])]
-        yield pd.DataFrame({"n": [n for n, _ in rows], "scores": [s for _, s in rows], "label": b["label"].to_numpy()})
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_labels: int = 100_000) -> Scorer:
-    """Learns from at most ``max_labels`` labelled rows: texts by token, summed on
-    Spark into a fixed number of buckets over three quarters of the rows (by
-    hash), then on the last quarter the extreme-value parameters from rows
-    labelled 0 and a logistic curve from evidence to probability."""
+        rows = []
+        for text, label, fold in zip(b["_text"], b["label"], b["fold"], strict=True):
+            read = {}
+            for i, (prior, drift, floor) in enumerate(GRID):
+                if (prior, drift) not in read:
+                    read[prior, drift] = scorers[prior, drift, fold].read(text)
+                n, found = read[prior, drift]
+                rows.append((i, n, [s for *_, s in found if s >= floor], label))
+        yield pd.DataFrame(rows, columns=["choice", "n", "scores", "label"])
+
+
+def _weighed(batches: Iterator[pd.DataFrame], scorers: list[Scorer]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        x = [math.log1p(scorers[i].evidence(n, list(s))) for i, n, s in zip(b["choice"], b["n"], b["scores"], strict=True)]
+        yield pd.DataFrame({"choice": b["choice"], "x": x, "label": b["label"]})
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope and base of the probability of 1, and the mean loss, by Newton's steps."""
+    a, b = 1.0, -1.0
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = p * (1 - p) + 1e-6
+        g = np.array([((y - p) * x).sum() - 1e-3 * a, (y - p).sum()])
+        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        step = np.clip(np.linalg.solve(h, g), -2, 2)
+        a, b = a + step[0], b + step[1]
+    z = np.clip(a * x + b, -30, 30)
+    return float(a), float(b), float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_labels: int = 100_000, max_tried: int = 10_000) -> Scorer:
+    """Learns from at most about ``max_labels`` labelled rows, whose tokens are
+    counted on Spark by fold, a hash of the id, into a fixed number of buckets.
+
+    At most about ``max_tried`` of them are read by models of the other folds,
+    with every choice of ``GRID``: from those labelled 0 come the extreme-value
+    parameters, from all a logistic curve from evidence to probability. The choice
+    of the smallest loss is taken, with its parameters and the counts of all
+    folds. No other row than those of ``labels`` has a part in this."""
     known = F.broadcast(labelled(labels, F.col(label).cast("int"), max_labels).withColumnRenamed("doc_id", "_id"))
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text")).join(known, "_id").select("_text", "label", (F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(4)) == 0).alias("_last"))
-    last, rows = rows.filter("_last").drop("_last"), rows.filter("NOT _last").drop("_last")
-    counts = rows.mapInPandas(_counts, "bucket int, label int, n long").groupBy("bucket", "label").agg(F.sum("n").alias("n")).toPandas()
-    scorer = Scorer(log_odds(counts))
-    got = [(r.n, list(r.scores), r.label) for r in last.mapInPandas(lambda it: _read(it, scorer), "n long, scores array<double>, label int").collect()]
-    clean = sorted(s for n, scores, y in got if y == 0 for s in scores)
-    tokens = sum(n for n, _, y in got if y == 0)
-    if clean and tokens:
-        # Scores over the threshold of clean text fall off exponentially.
-        over = np.array(clean) - scorer.least
-        scorer.rate = float(min(3.0, max(0.05, 1 / max(1e-3, over.mean()))))
-        scorer.size = float(len(clean) / tokens * math.exp(scorer.rate * scorer.least))
-    elif tokens:
-        scorer.size = 1 / tokens
-    x = np.array([math.log1p(scorer.evidence(n, scores)) for n, scores, _ in got])
-    y = np.array([float(t) for *_, t in got])
-    if len(y) and 0 < y.sum() < len(y):
-        a, b = 1.0, -1.0
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w = p * (1 - p) + 1e-6
-            g = np.array([((y - p) * x).sum() - 1e-3 * a, (y - p).sum()])
-            h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]])
-            step = np.clip(np.linalg.solve(h, g), -2, 2)
-            a, b = a + step[0], b + step[1]
-        scorer.slope, scorer.base = float(a), float(b)
-    else:
-        scorer.base = -2.0
-    scorer.cache = {}
-    return scorer
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text")).join(known, "_id")
+    rows = written(rows.select("_text", "label", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"), F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(1 << 30)).alias("_u")))
+    counts = rows.mapInPandas(_counts, "bucket int, label int, fold int, n long").groupBy("bucket", "label", "fold").agg(F.sum("n").alias("n")).toPandas()
+    odds = {(prior, drift, fold): log_odds(counts[counts["fold"] != fold], prior, drift).astype(np.float32) for prior, drift, _ in GRID for fold in range(FOLDS)}
+    some = rows.filter(F.col("_u") < int((1 << 30) * min(1.0, max_tried / max(1, rows.count()))))
+    tried = written(some.mapInPandas(lambda it: _tried(it, odds), "choice int, n long, scores array<double>, label int"))
+    sums = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s)
+    clean = {r["choice"]: r for r in tried.filter("label = 0").groupBy("choice").agg(F.sum("n").alias("n"), F.sum(F.size("scores")).alias("found"), F.sum(sums).alias("total")).collect()}
+    scorers = []
+    for i, (prior, drift, least) in enumerate(GRID):
+        scorers.append(Scorer(np.zeros(0), least))
+        if i in clean and clean[i]["n"]:
+            n, found = clean[i]["n"], clean[i]["found"]
+            # Scores over the threshold of clean text fall off exponentially.
+            over = clean[i]["total"] / found - least if found else 1.0
+            scorers[i].rate = float(min(3.0, max(0.05, 1 / max(1e-3, over))))
+            scorers[i].size = float(max(found, 1) / n * math.exp(scorers[i].rate * least))
+    got = tried.mapInPandas(lambda it: _weighed(it, scorers), "choice int, x double, label int").toPandas()
+    losses = []
+    for i, s in enumerate(scorers):
+        x, y = (got.loc[got["choice"] == i, c].to_numpy(float) for c in ("x", "label"))
+        if len(y) and 0 < y.sum() < len(y):
+            s.slope, s.base, loss = logistic(x, y)
+            losses.append((loss, i))
+        else:
+            s.base = -2.0
+    best = min(losses)[1] if losses else 0
+    out = scorers[best]
+    out.odds = log_odds(counts, *GRID[best][:2])
+    release(rows, tried)
+    return out
 
 
 def _scored(batches: Iterator[pd.DataFrame], scorer: Scorer) -> Iterator[pd.DataFrame]:
@@ -166,6 +204,7 @@ def _scored(batches: Iterator[pd.DataFrame], scorer: Scorer) -> Iterator[pd.Data
 def score(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, score, passages)`` per row; passages are (start, end, score) in
     characters. Null and empty texts have no passages and the lowest score;
+    very long ones are read whole; of equal stretches the first is a passage;
     repeated rows score alike; without labels of both kinds all score low; an
     empty table gives no rows; other columns are not carried."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
@@ -173,6 +212,8 @@ def score(docs: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, odd rows as in :func:`score`. Held-out labels take
+    no part in the fit, nor in the choice of its parameters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     scorer = fit(docs, table(spark, sf_dir, "labels").filter(~held))
