@@ -35,16 +35,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(bucket(t), int(label), int(fold), c) for (t, label, fold), c in n.items()], columns=["bucket", "label", "fold", "n"])
 
 
-def log_odds(counts: pd.DataFrame, prior: float, drift: float, most: float = 6.0) -> np.ndarray:
-    """Per bucket, the log odds of toxic against other text under a Dirichlet
-    prior of ``prior`` tokens a bucket, dealt to the two as their totals are, so
-    that an unseen token scores 0; less ``drift``, which makes the expected
-    score of a token negative."""
-    n = np.zeros((2, BUCKETS))
-    np.add.at(n, (counts["label"].to_numpy(int), counts["bucket"].to_numpy(int)), counts["n"].to_numpy(float))
+def log_odds(n: np.ndarray, prior: float, drift: float, most: float = 6.0) -> np.ndarray:
+    """Per bucket of ``n (label, bucket)``, the log odds of toxic against other
+    text under a Dirichlet prior of ``prior`` tokens a bucket, dealt to the two as
+    their totals are, so that an unseen token scores 0; less ``drift``, which
+    makes the expected score of a token negative."""
     part = np.maximum(n.sum(axis=1, keepdims=True), 1)
-    part /= part.sum()
-    rate = np.log(n / part + prior)
+    rate = np.log(n / (part / part.sum()) + prior)
     return np.clip(rate[1] - rate[0], -most, most) - drift
 
 
@@ -113,10 +110,11 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _tried(batches: Iterator[pd.DataFrame], odds: dict[tuple[float, float, int], np.ndarray]) -> Iterator[pd.DataFrame]:
+def _tried(batches: Iterator[pd.DataFrame], counts: np.ndarray) -> Iterator[pd.DataFrame]:
     """Each text read with every choice by a model that has not seen its fold."""
     least = min(g[2] for g in GRID)
-    scorers = {k: Scorer(o, least) for k, o in odds.items()}
+    rest = counts.sum(axis=0) - counts
+    scorers = {(p, d, f): Scorer(log_odds(rest[f], p, d).astype(np.float32), least) for p, d in {g[:2] for g in GRID} for f in range(FOLDS)}
     for b in batches:
         rows = []
         for text, label, fold in zip(b["_text"], b["label"], b["fold"], strict=True):
@@ -161,10 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     known = F.broadcast(labelled(labels, F.col(label).cast("int"), max_labels).withColumnRenamed("doc_id", "_id"))
     rows = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text")).join(known, "_id")
     rows = written(rows.select("_text", "label", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"), F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(1 << 30)).alias("_u")))
-    counts = rows.mapInPandas(_counts, "bucket int, label int, fold int, n long").groupBy("bucket", "label", "fold").agg(F.sum("n").alias("n")).toPandas()
-    odds = {(prior, drift, fold): log_odds(counts[counts["fold"] != fold], prior, drift).astype(np.float32) for prior, drift, _ in GRID for fold in range(FOLDS)}
+    found = rows.mapInPandas(_counts, "bucket int, label int, fold int, n long")
+    cell = [F.sum(F.when((F.col("fold") == f) & (F.col("label") == y), F.col("n")).otherwise(0)).cast("int").alias(f"n{f}_{y}") for f in range(FOLDS) for y in (0, 1)]
+    by_bucket = found.groupBy("bucket").agg(*cell).toPandas()  # as many rows as buckets at most
+    counts = np.zeros((FOLDS, 2, BUCKETS), np.int32)
+    counts[:, :, by_bucket["bucket"].to_numpy()] = by_bucket.drop(columns="bucket").to_numpy(np.int32).T.reshape(FOLDS, 2, -1)
+    del by_bucket
     some = rows.filter(F.col("_u") < int((1 << 30) * min(1.0, max_tried / max(1, rows.count()))))
-    tried = written(some.mapInPandas(lambda it: _tried(it, odds), "choice int, n long, scores array<double>, label int"))
+    tried = written(some.mapInPandas(lambda it: _tried(it, counts), "choice int, n long, scores array<double>, label int"))
     sums = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s)
     clean = {r["choice"]: r for r in tried.filter("label = 0").groupBy("choice").agg(F.sum("n").alias("n"), F.sum(F.size("scores")).alias("found"), F.sum(sums).alias("total")).collect()}
     scorers = []
@@ -187,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             s.base = -2.0
     best = min(losses)[1] if losses else 0
     out = scorers[best]
-    out.odds = log_odds(counts, *GRID[best][:2])
+    out.odds = log_odds(counts.sum(axis=0), *GRID[best][:2])
     release(rows, tried)
     return out
 
