@@ -95,41 +95,89 @@ def tour(found: DataFrame) -> DataFrame:
     return steps.filter("NOT up").select("conv_id", "turn", F.col("to").alias("thread"), "left")
 
 
+def ranged(rows: DataFrame, *keys: Column) -> DataFrame:
+    """``rows`` in ranges of ``conv_id`` and ``keys``, written, with the number
+    of the range as ``_part``. A conversation of any length lies in as many
+    ranges, one after the other, as it takes. Ranges come from a sample of the
+    keys, so these must be short; equal rows stay together unless a key tells
+    them apart."""
+    return written(rows.repartitionByRange(F.col("conv_id").asc_nulls_first(), *keys).withColumn("_part", F.spark_partition_id()))
+
+
+def _carried(parts: DataFrame, value: Column) -> DataFrame:
+    """``parts (conv_id, _part, _x)`` with ``value`` over the earlier parts of the
+    conversation, where there are any. Only a range's first conversation can
+    have begun before it: this has less than a row for each range, and so can
+    be broadcast."""
+    return F.broadcast(parts.withColumn("_x", value).filter("_x IS NOT NULL").select(F.col("conv_id").alias("_conv"), F.col("_part").alias("_at"), "_x"))
+
+
+def _with(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    return rows.join(carried, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_part") == F.col("_at")), "left").drop("_conv", "_at")
+
+
+def preceding(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, before)`` for rows ``(conv_id, turn)``, each once: the
+    turn before it in its conversation, which is not taken as a whole."""
+    rows = ranged(turns, F.col("turn").asc_nulls_first())
+    within = Window.partitionBy("conv_id", "_part").orderBy("turn")
+    last = rows.groupBy("conv_id", "_part").agg(F.max("turn").alias("_x"))
+    carried = _carried(last, F.lag("_x").over(Window.partitionBy("conv_id").orderBy("_part")))
+    return _with(rows.withColumn("before", F.lag("turn").over(within)), carried).select("conv_id", "turn", F.coalesce("before", "_x").alias("before"))
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``position``, from 1 within each conversation under
+    ``order``, which must tell all rows apart: numbers within each range plus
+    the rows of its conversation in the ranges before."""
+    rows = ranged(rows, *order)
+    sizes = rows.groupBy("conv_id", "_part").agg(F.count("*").alias("_x"))
+    carried = _carried(sizes, F.sum("_x").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.row_number().over(Window.partitionBy("conv_id", "_part").orderBy(*order))
+    return _with(rows.withColumn("_place", place), carried).withColumn("position", F.col("_place") + F.coalesce("_x", F.lit(0))).drop("_place", "_x", "_part")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, clean, n_quoted, parent, quotes, position)``: every
-    message without quoted lines and their headers, linked to the message that
-    it answers (the one that it quotes, else the turn before) and numbered in
-    reply order within its conversation.
+    """``(conv_id, turn, role, clean, clean_sha256, n_quoted, parent, quotes,
+    position)``: every message without quoted lines and their headers, linked to
+    the message that it answers (the one that it quotes, else the turn before)
+    and numbered in reply order within its conversation.
 
     Reply order sorts by the turn that starts a thread - a message that quotes
     joins the thread of its parent, however long the chain - and within it by
     the path from there: each message is followed by the replies that quote it,
     these by turn. Null texts are empty and very long ones are read whole; a null
-    role stays null; repeated rows all come out, their order by role and text;
-    of messages with equally many shared lines the latest is quoted; rows with null conv_id or turn come out without a link;
-    empty tables give no rows; other columns are not carried."""
-    rows = messages.select("conv_id", "turn", "role", "text")
+    role stays null; repeated rows all come out, those of one turn by role, by
+    the digest of their text and by ``n_quoted``; a role is a short label, as
+    its values are sampled to divide the rows; of messages with equally many
+    shared lines the latest is quoted; rows with null conv_id or turn come out
+    without a link and are numbered like those of any conversation; empty tables
+    give no rows; other columns are not carried.
+
+    Texts are written once and joined to their numbers; links and numbers are
+    made on rows without texts, and no step takes a conversation in one task."""
     said = parts(F.col("text"))
     own = F.filter(said, lambda x: ~x.rlike(MARKS))
-    n_quoted = F.size(F.filter(said, lambda x: x.rlike(MARKS)))
+    n_quoted = F.size(F.filter(said, lambda x: x.rlike(MARKS))).cast("long")
+    rows = messages.select("conv_id", "turn", "role", F.btrim(F.array_join(own, "\n"), F.lit(" \t\r\n")).alias("clean"), n_quoted.alias("n_quoted"))
+    rows = written(rows.withColumns({"clean_sha256": F.sha2("clean", 256), "_id": F.monotonically_increasing_id()}))
     found = written(links(messages))
-    turns = rows.select("conv_id", "turn").distinct().withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
-    linked = turns.join(found, ["conv_id", "turn"], "left")
+    linked = preceding(rows.filter("conv_id IS NOT NULL").select("conv_id", "turn").distinct()).join(found, ["conv_id", "turn"], "left")
     if is_empty(found):
         linked = linked.withColumns({"thread": F.col("turn"), "left": F.lit(None).cast("long")})
     else:
-        linked = linked.join(tour(found), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
-    rows = rows.join(linked, ["conv_id", "turn"], "left")
-    rows = rows.select("conv_id", "turn", "role", F.btrim(F.array_join(own, "\n"), F.lit(" \t\r\n")).alias("clean"), n_quoted.cast("long").alias("n_quoted"), F.coalesce("parent", "before").alias("parent"), F.col("shared").isNotNull().alias("quotes"), "thread", "left")
-    # Rows without a conversation have met no thread.
-    thread = F.coalesce("thread", "turn")
-    order = Window.partitionBy("conv_id").orderBy(thread.asc_nulls_first(), F.desc("left"), "turn", "role", "clean")
-    return rows.withColumn("position", F.row_number().over(order).cast("long")).drop("thread", "left")
+        linked = linked.join(tour(found), ["conv_id", "turn"], "left")
+    narrow = rows.select("conv_id", "turn", "role", "clean_sha256", "n_quoted", "_id").join(linked, ["conv_id", "turn"], "left")
+    # Turns that neither quote nor are quoted, and rows without a conversation, have met no thread.
+    narrow = narrow.withColumn("thread", F.coalesce("thread", "turn"))
+    order = [F.col("thread").asc_nulls_first(), F.desc("left"), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.asc("clean_sha256"), F.asc("n_quoted"), F.asc("_id")]
+    placed = numbered(narrow, *order).select("_id", F.coalesce("parent", "before").alias("parent"), F.col("shared").isNotNull().alias("quotes"), F.col("position").cast("long").alias("position"))
+    return rows.join(placed, "_id").select("conv_id", "turn", "role", "clean", "clean_sha256", "n_quoted", "parent", "quotes", "position")
 
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = conversations(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", F.sha2("clean", 256).alias("clean_sha256"), "n_quoted", "parent", "quotes", "position")
+    return out.select("conv_id", "turn", "role", "clean_sha256", "n_quoted", "parent", "quotes", "position")
 
 
 QUERIES = {"op9_quotation_links": op9_quotation_links}
@@ -172,7 +220,7 @@ WITH RECURSIVE msg AS MATERIALIZED (
 )
 SELECT m.conv_id, m.turn, m.role, sha256(coalesce(b.clean, '')) AS clean_sha256, coalesce(b.n_quoted, 0) AS n_quoted,
   coalesce(t.parent, t.before) AS parent, t.parent IS NOT NULL AS quotes,
-  row_number() OVER (PARTITION BY m.conv_id ORDER BY p.path NULLS FIRST, m.role NULLS FIRST, b.clean) AS position
+  row_number() OVER (PARTITION BY m.conv_id ORDER BY p.path NULLS FIRST, m.role NULLS FIRST, sha256(coalesce(b.clean, '')), coalesce(b.n_quoted, 0)) AS position
 FROM msg m LEFT JOIN body b ON b.id = m.id
 LEFT JOIN turns t ON t.conv_id = m.conv_id AND t.turn = m.turn
 LEFT JOIN thread p ON p.conv_id = m.conv_id AND p.turn = m.turn

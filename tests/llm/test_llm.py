@@ -746,6 +746,36 @@ def test_quotes_sql(spark, tmp_path):
     same(got, duck(str(tmp_path)), sql)
 
 
+def test_quotes_long_conversation(spark, tmp_path):
+    """One conversation with most rows, spread over ranges, beside short ones,
+    null ids and turns that come several times, against SQL and in parts."""
+    import random
+
+    r, rows = random.Random(8), []
+    for turn in range(3000):
+        quoted = f"> line {r.randrange(turn)}\n" if turn and turn % 50 == 0 else ""
+        rows.append((7, turn, r.choice(["user", "assistant", None]), f"{quoted}line {turn}"))
+    rows += [(c, t, "user", f"short {c} {t}") for c in (1, 6, 8, 30) for t in range(3)]
+    rows += [(8, 2, "user", x) for x in ("b", "a", "> q\na", "a", None)]
+    r.shuffle(rows)
+    kind = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, kind).repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        same(quotes.op9_quotation_links(spark, str(tmp_path)), duck(str(tmp_path)), quotes.ORACLE_SQL["op9_quotation_links"])
+        many = spark.createDataFrame([(None, None, "user", f"x{i % 9}") for i in range(2000)] + rows, kind)
+        got = quotes.conversations(many).filter("conv_id IS NULL").collect()
+        assert sorted(x.position for x in got) == list(range(1, 2001)) and not any(x.quotes or x.parent for x in got)
+        turns = quotes.ranged(many.filter("conv_id = 7").select("conv_id", "turn"), quotes.F.col("turn"))
+        sizes = [x["count"] for x in turns.groupBy("_part").count().collect()]
+        assert len(sizes) > 8 and max(sizes) < 900
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(empty).count() == 0
