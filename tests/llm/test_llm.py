@@ -1,13 +1,17 @@
 """The text operators against plain versions over whole tables and edge cases."""
 
 import hashlib
+import math
 import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -653,6 +657,76 @@ def test_ordinal(spark, docs):
     assert all(r.p_good >= r.p_best and abs(r.expected_grade - r.p_good - r.p_best) < 1e-9 for r in rows)
 
 
+def test_ordinal_held_out(spark):
+    """Each fold of the labelled rows graded by a model of the other folds."""
+    sf = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(3))
+    rows = []
+    for k in range(3):
+        model = ordinal.fit(documents, labels.filter(fold != k), ordinal.three_grades(), 3)
+        held = documents.join(labels.filter(fold == k), "doc_id")
+        rows += ordinal.grade(held, model).join(labels, "doc_id").collect()
+    assert len(rows) == labels.count()
+    right = sum((r.tails[0] >= 0.5) == (r.quality == 1) for r in rows)
+    of = {k: [r.expected_grade for r in rows if (0 if r.quality == 0 else 1 if r.toxic == 1 else 2) == k] for k in range(3)}
+    mean = {k: sum(v) / len(v) for k, v in of.items()}
+    print("held out:", right, len(rows), {k: (len(v), round(mean[k], 3)) for k, v in of.items()})
+    assert right >= 0.95 * len(rows)
+    assert mean[0] < mean[1] < mean[2]
+
+
+def plain_vector(t):
+    words = re.findall(r"[^\W_]+", t.lower())
+    out = [0.0] * ordinal.DIM
+    for w, c in Counter(words).items():
+        h = xxhash.xxh64_intdigest(w, 42)
+        out[h % (ordinal.DIM - ordinal.DENSE)] += (1 if h >> 63 else -1) * (1 + math.log(c))
+    size = math.sqrt(sum(x * x for x in out)) or 1
+    n, chars, lines = max(1, len(words)), max(1, len(t)), [x for x in t.split("\n") if x.strip()]
+    out = [x / size for x in out]
+    out[-ordinal.DENSE :] = [
+        min(2, math.log1p(len(words)) / 4), len(set(words)) / n, sum(map(len, words)) / n / 8, sum(c.isupper() for c in t) / chars * 4,
+        sum(c.isdigit() for c in t) / chars * 4, min(2, sum(c in "#*$%&|<>!" for c in t) / n * 4), len(set(lines)) / max(1, len(lines)), min(2, t.count(".") / n * 8),
+    ]
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abAB É²1_.#! \n", max_size=80))
+def test_ordinal_vector(t):
+    at, x = ordinal.vector(t)
+    got = [0.0] * ordinal.DIM
+    for i, v in zip(at, x, strict=True):
+        got[i] = v
+    assert got == pytest.approx(plain_vector(t), abs=1e-12)
+    assert all(x != 0) and len(set(at)) == len(at)
+
+
+def test_ordinal_gradient():
+    """The gradient against differences of the likelihood written out."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["good", "bad", "fine", "odd", "Plain"], 6)) for _ in range(30)]
+    made, y = [ordinal.vector(t) for t in texts], r.integers(0, 4, 30)
+    row, at, x = np.repeat(np.arange(30), [len(a) for a, _ in made]), np.concatenate([a for a, _ in made]), np.concatenate([v for _, v in made])
+    theta = r.normal(0, 0.5, ordinal.DIM + 3)
+
+    def plain(theta):
+        model, out = ordinal.Model(theta[: ordinal.DIM], ordinal.cuts(theta)), 0.0
+        for (a, v), k in zip(made, y, strict=True):
+            tails = [1.0, *model.tails(a, v), 0.0]
+            out -= math.log(tails[k] - tails[k + 1])
+        return out / 30 + 0.01 / 2 * (theta[: ordinal.DIM] ** 2).sum()
+
+    value, gradient = ordinal.loss(theta, row, at, x, y, 4, 0.01)
+    assert value == pytest.approx(plain(theta))
+    assert (np.diff(ordinal.cuts(theta)) > 0).all()
+    for i in [*np.unique(at)[:20], 5, *range(ordinal.DIM, ordinal.DIM + 3)]:
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        assert gradient[i] == pytest.approx((plain(theta + step) - plain(theta - step)) / 2e-5, abs=1e-6)
+
+
 def test_secrets(spark, empty):
     rows = [(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'), (2, "internationalisationofdocuments and averyveryverylongword"), (3, 'api_key = "example_example_example"'), (4, None)]
     found = secrets.candidates(spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, source string"))
@@ -768,7 +842,7 @@ def test_quotes_long_conversation(spark, tmp_path):
         many = spark.createDataFrame([(None, None, "user", f"x{i % 9}") for i in range(2000)] + rows, kind)
         got = quotes.conversations(many).filter("conv_id IS NULL").collect()
         assert sorted(x.position for x in got) == list(range(1, 2001)) and not any(x.quotes or x.parent for x in got)
-        turns = quotes.ranged(many.filter("conv_id = 7").select("conv_id", "turn"), quotes.F.col("turn"))
+        turns = quotes.ranged(many.filter("conv_id = 7").select("conv_id", "turn"), F.col("turn"))
         sizes = [x["count"] for x in turns.groupBy("_part").count().collect()]
         assert len(sizes) > 8 and max(sizes) < 900
     finally:
@@ -789,7 +863,13 @@ def test_empty_tables(spark, empty):
 def test_odd_rows_are_scored(spark, odd):
     labels = spark.createDataFrame([(2, 0, 0), (4, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, labels)).count() == len(ODD)
-    assert ordinal.grade(odd, ordinal.fit(odd, labels, F.col("quality"), 3)).count() == len(ODD)
+    graded = ordinal.grade(odd, ordinal.fit(odd, labels, F.col("quality"), 3)).collect()
+    assert len(graded) == len(ODD)
+    by = defaultdict(list)
+    for r in graded:
+        by[r.doc_id].append((r.expected_grade, tuple(r.tails)))
+    assert by[1] == by[2] and by[5][0] == by[5][1] and by[4][0][0] > by[2][0][0]
+    assert all(0 <= b <= a <= 1 for v in by.values() for _, (a, b) in v)
     assert secrets.scan(odd).count() >= 1
 
 
