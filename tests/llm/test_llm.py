@@ -750,6 +750,53 @@ def test_secrets_copies(spark):
     assert sorted(r.doc_id for r in got if r.reported) == list(range(3000, 3030))
 
 
+def test_secrets_reviewed(spark, docs):
+    """Findings reviewed apart from the features: each is labelled by what was put in
+    its place. A forest of one half is held against the other."""
+    import random
+    import string
+
+    r, names = random.Random(12), "connection settings renderer default handler storage backup region customer report widget".split()
+    alnum, code = string.ascii_letters + string.digits, []
+    kinds = {
+        "hex": (1, lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40])))),
+        "key": (1, lambda: "".join(r.choice(alnum) for _ in range(r.randrange(20, 44)))),
+        "short": (1, lambda: "".join(r.choice(alnum + "!@$.%") for _ in range(r.randrange(8, 15)))),
+        "camel": (0, lambda: r.choice(names) + "".join(r.choice(names).title() for _ in range(3))),
+        "snake": (0, lambda: "_".join(r.choice(names) for _ in range(4))),
+        "path": (0, lambda: "/".join(r.choice(names) for _ in range(4))),
+        "dated": (0, lambda: f"{r.choice(names)}-{r.choice(names)}-20{r.randrange(10, 30)}-{r.randrange(1, 13):02d}"),
+    }
+    for i in range(700):
+        label, make = kinds[kind := r.choice(list(kinds))]
+        name = r.choice(["password", "token", "api_key"]) if kind == "short" or r.random() < 0.4 else r.choice(names)
+        code.append((i, f'the {r.choice(names)} of a {r.choice(names)} is\n{name} = "{make()}"', "app/conf.py" if i % 3 else "web", kind, label))
+    everything = docs.select("doc_id", "text", "source").union(spark.createDataFrame([(10**6 + i, t, p) for i, t, p, _, _ in code], "doc_id long, text string, source string"))
+    found = secrets.candidates(everything).filter("doc_id >= 1000000")
+    found = found.join(spark.createDataFrame([(10**6 + i, k, v) for i, _, _, k, v in code], "doc_id long, kind string, label int"), "doc_id").cache()
+    assert found.count() == len(code)
+    model = secrets.fit(found.filter("doc_id % 2 = 0"))
+    held = secrets.judge(found.filter("doc_id % 2 = 1"), model).select("kind", "label", "reported").collect()
+    hit, said, true = sum(x.label and x.reported for x in held), sum(x.reported for x in held), sum(x.label for x in held)
+    print("held out:", hit, said, true, Counter((x.kind, x.reported) for x in held))
+    assert hit >= 0.95 * said and hit >= 0.95 * true
+    assert any(x.kind == "short" and x.reported for x in held)
+    # Counts and bits by their definition.
+    n = Counter(w for x in everything.collect() for w in re.findall(secrets.WORD, (x.text or "").lower()))
+    assert {x.word: x.n for x in secrets.words(everything).collect()} == n
+    pairs = Counter()
+    for w, k in n.items():
+        for pair in zip(w, w[1:], strict=False):
+            pairs[pair] += k
+    total = sum(n.values())
+    for x in found.orderBy("doc_id").limit(40).collect():
+        low = [c if c in secrets.LETTERS else None for c in x.secret.lower()]
+        bits = [math.log2((27 + sum(pairs[a, z] for z in secrets.LETTERS)) / (1 + pairs[a, b])) for a, b in zip(low, low[1:], strict=False)]
+        assert x.surprise == pytest.approx(sum(bits) / len(bits))
+        parts = [w.lower() for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", x.secret)]
+        assert x.known == pytest.approx(sum(len(w) for w in parts if len(w) > 3 and n[w] >= 3 and n[w] * 1_000_000 >= 2 * total) / len(x.secret))
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there, how are you?"), (1, 1, "assistant", "Fine, thanks."), (1, 2, "user", "> Hello there,  how ARE you?\nAs I said."), (1, 3, "user", "On Monday X wrote:\n> > Hello there, how are you?\n> Fine, thanks.\nGood."), (2, 0, "user", None), (None, None, None, None)]
     got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
