@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def exact(value: str) -> Column:
+    """A double as a decimal: its sums do not depend on the order of rows."""
+    return F.col(value).cast("decimal(18,4)")
+
+
 def discounted(price: str = "l_extendedprice", discount: str = "l_discount") -> Column:
     """Price after discount, as a decimal: its sums do not depend on the order of rows."""
     return (F.col(price) * (1 - F.col(discount))).cast("decimal(18,4)")

@@ -1,9 +1,12 @@
+import os
+from datetime import datetime, timedelta
+
 import pytest
 from compare import duck, same
 
 from sparrowmill import jobs
 from sparrowmill.operators import sessions, top_per_key
-from sparrowmill.streaming import windowed_events
+from sparrowmill.streaming import session_windows, windowed_events
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +30,52 @@ def test_stream_matches_batch_on_closed_windows(spark, tmp_path):
     got, batch = {tuple(r) for r in spark.table("w").collect()}, {tuple(r) for r in windowed_events(events).collect()}
     last = max(r[0] for r in batch)
     assert got == {r for r in batch if r[0] < last}
+
+
+def run_stream(spark, stream, made, checkpoint):
+    query = made(stream).writeStream.format("memory").queryName("s").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(checkpoint)).start()
+    query.awaitTermination(120)
+    return sorted((tuple(r) for r in spark.table("s").collect()), key=str)
+
+
+def test_stream_sessions_match_batch_once_closed(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{SF}/events.parque[t]")
+    got = run_stream(spark, stream, lambda x: session_windows(x, 3600 * 8), tmp_path)
+    batch = [tuple(r) for r in session_windows(events, 3600 * 8).collect()]
+    mark = max(r[2] for r in batch) - timedelta(hours=1)
+    want = sorted((r for r in batch if r[2] + timedelta(hours=8) < mark), key=str)
+    assert len(want) > 100 and got == want
+
+
+def test_stream_sessions_with_late_rows(spark, tmp_path):
+    """Four arrivals: rows late within the watermark extend and join sessions, one
+    behind it is dropped, a pause of just the gap does not part."""
+    kind = "user_id long, ts timestamp_ntz, value double"
+    at = lambda h, m=0, s=0: datetime(2024, 1, 1, h, m, s)
+    arrivals = [
+        [(1, at(0), 1.0), (1, at(0, 10), 2.0), (2, at(4, 20), 1.0), (2, at(5), 1.0), (None, at(5), 7.0), (1, None, 9.0)],
+        [(3, at(5, 1), 1.0)],
+        [(1, at(0, 20), 4.0), (1, at(4, 10), 8.0), (1, at(4, 40), 16.0), (1, at(5, 10, 1), 32.0), (2, at(4, 40), 1.0), (2, at(10), 1.0), (2, at(10), 1.0)],
+        [(3, at(20), 1.0)],
+    ]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, rows in enumerate(arrivals):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        (file,) = (tmp_path / f"part{i}").glob("*.parquet")
+        os.utime(file.rename(folder / f"{i}.parquet"), (1_700_000_000 + 60 * i,) * 2)
+    stream = spark.readStream.schema(spark.createDataFrame([], kind).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = run_stream(spark, stream, lambda x: session_windows(x, 1800), tmp_path / "checkpoint")
+    assert got == sorted(
+        [
+            (1, at(0), at(0, 10), 2, 3.0),
+            (1, at(4, 10), at(4, 40), 2, 24.0),
+            (1, at(5, 10, 1), at(5, 10, 1), 1, 32.0),
+            (2, at(4, 20), at(5), 3, 3.0),
+            (2, at(10), at(10), 2, 2.0),
+            (3, at(5, 1), at(5, 1), 1, 1.0),
+            (None, at(5), at(5), 1, 7.0),
+        ],
+        key=str,
+    )
