@@ -31,10 +31,13 @@ def counts(df: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     df = df.withColumn("_w", F.filter(F.split(t, SPACE), lambda w: w != ""))
     n = F.size("_w")
     heads = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_s", F.array_sort(F.transform(heads, lambda i: F.struct(F.xxhash64(*[F.get("_w", i + k) for k in range(window)]).alias("h"), i.alias("i")))))
+    df = df.withColumn("_h", F.transform(heads, lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(window)])))
+    # Only texts in which a window comes again are looked at place by place.
+    found = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), found))
     s = F.col("_s")
     again = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
-    df = df.withColumn("_p", F.array_sort(F.transform(again, lambda x: x["i"])))
+    df = df.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["i"])))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate("_p", start, lambda a, i: F.struct((a["n"] + i + window - F.greatest(a["end"], i)).alias("n"), (i + window).alias("end")))["n"]
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -43,14 +46,14 @@ def counts(df: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": covered.cast("long"),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         "_upper": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
         "_letters": F.length(F.regexp_replace(t, r"[^\p{L}]+", "")),
         "_ends": F.length(F.regexp_replace(t, r"[^.!?]+", "")),
         "_common": F.size(F.filter("_w", lambda w: w.isin(COMMON))),
         "_bare": F.regexp_count(t, F.lit(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")),
         "_marked": F.regexp_count(t, F.lit(r"[^\s#*$%&|<>][#*$%&|<>]")),
-    }).drop("_w", "_s", "_p")
+    }).drop("_w", "_h", "_s", "_p")
 
 
 def rules() -> list[Column]:
@@ -136,7 +139,7 @@ def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFram
     its own; a text for which the votes balance out is kept; an empty table
     gives no rows; columns named as the added ones are replaced (:func:`keep`
     leaves all columns as they are)."""
-    rows = without(df, *ADDED, *HELPERS, "_w", "_s", "_p")
+    rows = without(df, *ADDED, *HELPERS, "_w", "_h", "_s", "_p")
     return posterior(written(votes(rows, text).drop(text)), threshold)
 
 
