@@ -31,15 +31,19 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 MIDDLE = re.compile(r"(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-])")
 DOMAIN = re.compile(BASE[0].split("@")[1])
 SCANS = (re.compile(r"(?<![0-9])" + BASE[1]), *map(re.compile, BASE[2:]))
-#: What else may be personal data; the model decides. Written-out addresses, and digits in groups.
+#: What else may be personal data; the model decides. Written-out addresses, and 7 to
+#: 19 digits with at most three separators between two of them; longer ones are none.
 LOOSE = (
-    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9-]+)+", re.I)),
-    ("digits", re.compile(r"(?<![\w.+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![\w])")),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+ ?(?:[(\[{<]at[)\]}>]| at ) ?[A-Za-z0-9-]+(?:(?: ?[(\[{<]dot[)\]}>] ?| dot |\.)[A-Za-z0-9-]+)+", re.I)),
+    ("digits", re.compile(r"(?<![\w.+])\(?[0-9](?:[ ()./-]{0,3}[0-9]){6,18}(?![\w])")),
 )
 #: What every loose match holds.
-GATE = re.compile(r"[0-9][ ().-]{0,2}[0-9]| at |\[at\]|\(at\)", re.I)
-AT, DOT = re.compile(r"\s*[\[(]?\bat\b[\])]?\s*"), re.compile(r"\s*[\[(]?\bdot\b[\])]?\s*")
+GATE = re.compile(r"[0-9][ ()./-]{0,3}[0-9]| at |[(\[{<]at[)\]}>]", re.I)
+AT, DOT = re.compile(r"\s*[\[({<]?\bat\b[\])}>]?\s*"), re.compile(r"\s*[\[({<]?\bdot\b[\])}>]?\s*")
 LABELS = ("none", *KINDS)
+#: Of a candidate to learn from: its text, its place there, its label, hashed features,
+#: what equal tokens share, if the label is sure, and if the field is told it.
+EXAMPLE = ["doc", "at", "label", "features", "token", "sure", "fixed"]
 FEATURES = 1024
 #: How written-out addresses and numbers without a country code look; see :func:`masked`.
 WRITTEN = ((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" at ", " dot "))
@@ -136,7 +140,7 @@ def features(span: str, before: str, after: str) -> list[int]:
     if re.search(r"[a-z]", low):
         plain = DOT.sub(".", AT.sub("@", low))
         host = plain.rpartition("@")[2].split(".")
-        told = (("@" in low or bool(re.search(r"[\[(]at", low))), ("." in low.rpartition("at")[2]))
+        told = (("@" in low or bool(re.search(r"[\[({<]at", low))), ("." in low.rpartition("at")[2]))
         names = ["address", f"top={len(host[-1])}", f"parts={min(4, len(host))}", f"spelled={told[0]}", f"spelled={told}", f"digits={bool(re.search('[0-9]', plain))}"]
     else:
         groups = [len(g) for g in re.findall(r"[0-9]+", low)]
@@ -161,10 +165,11 @@ def same_token(text: str, start: int, end: int) -> str:
     return "d" + (digits[-9:] if len(digits) <= 15 and not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s) else digits)
 
 
-def infer(unary: np.ndarray, keys: list[str], chain: float, skip: float, rounds: int = 50) -> np.ndarray:
+def infer(unary: np.ndarray, keys: list, chain: float, skip: float, joined: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
     """Label marginals by loopy message passing. Neighbours in the text share a
     ``chain`` potential and equal tokens a ``skip`` potential, both for equal
-    labels. Tokens with one key meet in a factor of their own, so n repeats take
+    labels. Several texts may follow one another: ``joined`` says which rows but
+    the first are in the text of the row before, and their ``keys`` must differ. Tokens with one key meet in a factor of their own, so n repeats take
     n messages and not n * n. Messages are damped by half; they end when none moves
     by 1e-4, or after ``rounds``, with what they are then."""
     n, k = unary.shape
@@ -180,6 +185,7 @@ def infer(unary: np.ndarray, keys: list[str], chain: float, skip: float, rounds:
         p /= p.sum(axis=1, keepdims=True)
         return np.log(1 + (np.exp(weight) - 1) * p)
 
+    edge = np.ones((max(0, n - 1), 1)) if joined is None else joined[:, None].astype(float)
     right, left = np.zeros((n, k)), np.zeros((n, k))
     up, down = np.zeros((n, k)), np.zeros((n, k))
     for _ in range(rounds):
@@ -191,7 +197,7 @@ def infer(unary: np.ndarray, keys: list[str], chain: float, skip: float, rounds:
         down = fresh
         belief = unary + down
         new_right, new_left = np.zeros((n, k)), np.zeros((n, k))
-        new_right[1:], new_left[:-1] = through((belief + right)[:-1], chain), through((belief + left)[1:], chain)
+        new_right[1:], new_left[:-1] = edge * through((belief + right)[:-1], chain), edge * through((belief + left)[1:], chain)
         right, left = new_right, new_left
         if change < 1e-4:
             break
@@ -203,19 +209,34 @@ def infer(unary: np.ndarray, keys: list[str], chain: float, skip: float, rounds:
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per candidate, in order: half of the base spans in their masked
     form, so that the field learns what they look like without a base pattern.
-    Each has two decoys beside it, as texts of their own and of label none."""
+    Half of these are told again at some other place of the text, as they were or
+    masked otherwise. Each span has two decoys, in its text or in one of
+    their own, some of them told again as well."""
     for b in batches:
         rows = []
         for text in b["_text"]:
             doc = xxhash.xxh64_intdigest(text or "") >> 1
+
+            def row(where: int, at: int, label: int, shown: str, place: tuple[int, int], sure: bool, fixed: bool, text=text):
+                token = xxhash.xxh64_intdigest(same_token(shown, 0, len(shown))) >> 1
+                rows.append((where, at, label, features(shown, *around(text, *place)), token, sure, fixed))
+
             for a, z, kind in candidates(text or ""):
                 span, draw = text[a:z], xxhash.xxh32_intdigest(f"{doc} {a}")
-                shown = masked(span, kind, draw >> 8) if kind and draw & 1 else span
-                token = xxhash.xxh64_intdigest(same_token(text, a, z)) >> 1
-                rows.append((doc, a, LABELS.index(kind or "none"), features(shown, *around(text, a, z)), token, bool(kind)))
+                label, hide = LABELS.index(kind or "none"), bool(kind) and draw & 1
+                row(doc, 8 * a, label, masked(span, kind, draw >> 8) if hide else span, (a, z), bool(kind), bool(kind) and not hide)
+                far = (draw * 2654435761 >> 7) % len(text)
+                if hide and draw & 2:
+                    again = bool(draw & 4)
+                    row(doc, 8 * (len(text) + a) + 4, label, masked(span, kind, draw >> 14) if again else span, (far, far), True, not again)
                 for i, other in enumerate(filter(None, (decoy(span, kind, draw >> 4), decoy(span, kind, draw >> 9)))):
-                    rows.append((doc ^ token ^ i, a, 0, features(other, *around(text, a, z)), token, True))
-        yield pd.DataFrame(rows, columns=["doc", "at", "label", "features", "token", "sure"])
+                    # A decoy that shares the span's token would say that equal tokens differ.
+                    own = draw >> (20 + i) & 1 or same_token(other, 0, len(other)) == same_token(span, 0, len(span))
+                    home = (doc ^ xxhash.xxh64_intdigest(f"{a} {i}")) >> 1 if own else doc
+                    row(home, 8 * a + 1 + i, 0, other, (a, z), True, False)
+                    if draw >> (22 + i) & 1:
+                        row(home, 8 * (len(text) + a) + 5 + i, 0, other, (far, far), True, False)
+        yield pd.DataFrame(rows, columns=EXAMPLE)
 
 
 class Field:
@@ -229,44 +250,79 @@ class Field:
         return np.array([self.weights[:, f].sum(axis=1) + self.weights[:, -1] for f in found])
 
 
-def train(rows: pd.DataFrame, steps: int = 300, rate: float = 0.1, ridge: float = 1e-3, unlabelled: float = 0.5, prior: tuple[float, float] = (0.1, 3.0)) -> Field:
-    """Maximum pseudo-likelihood: each candidate's label given its features, its
-    neighbours' labels and those of equal tokens. Candidates of the corpus that
-    are no base span count as none, by ``unlabelled``, as some are personal data.
-    The two shared potentials are drawn to ``prior``, which is what they are
-    where a corpus has no neighbours or repeats to learn from; they stay positive."""
+def _unary(rows: pd.DataFrame, steps: int = 300, rate: float = 0.1, ridge: float = 1e-3, unlabelled: float = 0.5) -> np.ndarray:
+    """Weights of labels by features alone, by maximum likelihood. Candidates of
+    the corpus that are no base span count as none, by ``unlabelled``, as some are
+    personal data."""
     k, width = len(LABELS), FEATURES + 1
-    w, shared = np.zeros((k, width)), np.array(prior)
+    w = np.zeros((k, width))
     w[0, -1] = 1.0
     if not len(rows):
-        return Field(w, *prior)
-    rows = rows.sort_values(["doc", "at"], kind="stable").drop_duplicates(["doc", "at"]).reset_index(drop=True)
-    y, n = rows["label"].to_numpy(), len(rows)
-    sizes = rows["features"].map(len).to_numpy()
-    row, at = np.repeat(np.arange(n), sizes), np.concatenate(rows["features"].to_numpy()).astype(np.int64)
-    one = np.eye(k)[y]
-    near, doc = np.zeros((n, k)), rows["doc"].to_numpy()
-    joined = (doc[1:] == doc[:-1])[:, None]
-    near[1:] += joined * one[:-1]
-    near[:-1] += joined * one[1:]
-    group = rows.groupby(["doc", "token"], sort=False).ngroup().to_numpy()
-    total = np.zeros((group.max() + 1, k))
-    np.add.at(total, group, one)
-    alike = np.minimum(total[group] - one, 1.0)
+        return w
+    n = len(rows)
+    row, at = np.repeat(np.arange(n), rows["features"].map(len).to_numpy()), np.concatenate(rows["features"].to_numpy()).astype(np.int64)
+    one = np.eye(k)[rows["label"].to_numpy()]
     weight = np.where(rows["sure"], 1.0, unlabelled)[:, None]
-    theta, m, v = np.concatenate([w.ravel(), shared]), 0.0, 0.0
+    m, v = 0.0, 0.0
     for step in range(1, steps + 1):
-        w, shared = theta[:-2].reshape(k, width), theta[-2:]
-        z = np.stack([np.bincount(row, w[c, at], minlength=n) for c in range(k)], axis=1) + w[:, -1] + shared[0] * near + shared[1] * alike
+        z = np.stack([np.bincount(row, w[c, at], minlength=n) for c in range(k)], axis=1) + w[:, -1]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         d = weight * (p / p.sum(axis=1, keepdims=True) - one) / n
         g = np.stack([np.bincount(at, d[row, c], minlength=width) for c in range(k)])
         g[:, -1] += d.sum(axis=0)
-        g = np.concatenate([(g + ridge / n * w).ravel(), [(d * near).sum(), (d * alike).sum()] + 20 / n * (shared - prior)])
+        g += ridge / n * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        theta[-2:] = np.maximum(theta[-2:], 0.0)
-    return Field(theta[:-2].reshape(k, width), *map(float, theta[-2:]))
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return w
+
+
+def told_labels(unary: np.ndarray, labels: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """``unary`` with rows whose label the field is told held to it."""
+    out = unary.copy()
+    out[fixed] = -30.0
+    out[fixed, labels[fixed]] = 0.0
+    return out
+
+
+def loss(shared: tuple[float, float], rows: pd.DataFrame, unary: np.ndarray, unlabelled: float = 0.5, prior: tuple[float, float] = (0.1, 3.0)) -> float:
+    """Minus the log of the marginals that message passing gives the labels of
+    ``rows`` (in order of their texts) that the field is not told, and a prior
+    worth one row with a deviation of 1 from ``prior``."""
+    y, fixed, doc = rows["label"].to_numpy(), rows["fixed"].to_numpy(), rows["doc"].to_numpy()
+    keys = list(zip(doc, rows["token"], strict=True))
+    p = infer(told_labels(unary, y, fixed), keys, *shared, joined=doc[1:] == doc[:-1])
+    each = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)) * np.where(rows["sure"], 1.0, unlabelled)
+    return float(each[~fixed].sum()) + sum((a - b) ** 2 for a, b in zip(shared, prior, strict=True)) / 2
+
+
+def train(rows: pd.DataFrame, prior: tuple[float, float] = (0.1, 3.0), shared_rows: int = 5_000) -> Field:
+    """Piecewise: first the unary weights alone, then the two shared potentials on
+    top of them. These are what makes the labels likeliest by the same message
+    passing that :func:`spans` uses (:func:`loss`), over unary scores that a model
+    of the other half of the texts gives, as a model is too sure of its own. They
+    are found by a search that halves its step, on the first ``shared_rows`` rows of
+    texts with several, and stay positive; without any they stay at ``prior``."""
+    rows = rows.sort_values(["doc", "at"], kind="stable").drop_duplicates(["doc", "at"]).reset_index(drop=True)
+    if not len(rows):
+        return Field(_unary(rows), *prior)
+    half = (rows["doc"].to_numpy() >> 5) & 1
+    unary = np.zeros((len(rows), len(LABELS)))
+    for h in (0, 1):
+        if (half == h).any():
+            unary[half == h] = Field(_unary(rows[half != h]), *prior).unary(list(rows["features"][half == h]))
+    several = np.flatnonzero(rows.groupby("doc")["at"].transform("size").to_numpy() > 1)[:shared_rows]
+    told, scores = rows.iloc[several], unary[several]
+    best, step = tuple(prior), 1.0
+    least = loss(best, told, scores, prior=prior) if len(told) else 0.0
+    while len(told) and step > 0.05:
+        a, b = best
+        tried = {x: loss(x, told, scores, prior=prior) for x in ((a + step, b), (max(0.0, a - step), b), (a, b + step), (a, max(0.0, b - step)))}
+        found = min(tried, key=tried.get)
+        if tried[found] < least:
+            best, least = found, tried[found]
+        else:
+            step /= 2
+    return Field(_unary(rows), *best)
 
 
 def fit(docs: DataFrame, text: str = "text", max_docs: int = 50_000) -> Field:
@@ -278,8 +334,8 @@ def fit(docs: DataFrame, text: str = "text", max_docs: int = 50_000) -> Field:
     rows = docs.select(t.alias("_text")).filter(t.isNotNull())
     if share < 1:
         rows = rows.filter(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = rows.mapInPandas(_examples, "doc long, at long, label int, features array<int>, token long, sure boolean")
-    return train(pd.DataFrame([tuple(r) for r in found.collect()], columns=["doc", "at", "label", "features", "token", "sure"]))
+    found = rows.mapInPandas(_examples, "doc long, at long, label int, features array<int>, token long, sure boolean, fixed boolean")
+    return train(pd.DataFrame([tuple(r) for r in found.collect()], columns=EXAMPLE))
 
 
 def spans(text: str | None, field: Field, threshold: float = 0.5) -> list[tuple[int, int, str, bool]]:
@@ -290,11 +346,8 @@ def spans(text: str | None, field: Field, threshold: float = 0.5) -> list[tuple[
     loose = [not kind for *_, kind in found]
     if not any(loose):
         return [(a, b, kind, True) for a, b, kind in sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))]
-    unary = field.unary([features(text[a:b], *around(text, a, b)) for a, b, _ in found])
-    for i, (_, _, kind) in enumerate(found):
-        if kind:
-            unary[i] = -30.0
-            unary[i, LABELS.index(kind)] = 0.0
+    labels = np.array([LABELS.index(kind or "none") for *_, kind in found])
+    unary = told_labels(field.unary([features(text[a:b], *around(text, a, b)) for a, b, _ in found]), labels, labels > 0)
     p = infer(unary, [same_token(text, a, b) for a, b, _ in found], field.chain, field.skip)
     out = []
     for (a, b, kind), q in zip(found, p, strict=True):
