@@ -595,6 +595,36 @@ def test_near_dedup_crowded(spark):
     assert Counter(texts(keep)) == plain_near(rows)
 
 
+def test_near_dedup_by_simhash(spark):
+    """The stage's candidates come from fuzzy Golay keys of SimHash: up to two
+    differing bits of a segment leave a key, near copies meet by them and only
+    similar texts are linked; the exact join adds what is left, and only that."""
+    import random
+
+    r = random.Random(17)
+    prints = np.array([[r.randrange(1 << 23) for _ in range(minhash.SEGMENTS)] for _ in range(60)])
+    other = prints.copy()
+    other[:, 4] ^= [sum(1 << b for b in r.sample(range(23), r.randint(0, 2))) for _ in prints]
+    other[:, [0, 1, 2, 3, 7, 8, 9, 10, 11]] ^= 1 << 22  # so only the key of segment 4, with 5 and 6 beside it, is left
+    for x, y in zip(minhash.codes(prints), minhash.codes(other), strict=True):
+        assert {int(k) >> 32 for k in set(x) & set(y)} >= {4}
+    words = [[f"w{r.randrange(5000)}" for _ in range(400)] for _ in range(40)]
+    pairs = []
+    for i, w in enumerate(words):
+        y = list(w)
+        for at in r.sample(range(400), 1 if i < 20 else 8):
+            y[at] = f"v{r.randrange(5000)}"
+        pairs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(y))]
+    made = spark.createDataFrame([(*x, "en", "a", 0) for x in pairs], SCHEMA)
+    rows = minhash.sketched(made.select("doc_id", *[c.alias(n) for c, n in zip(minhash.identity(), ("_h1", "_h2"), strict=True)], F.col("text").alias("_text")), 5, 0.8)
+    copies = minhash.written(rows.withColumnRenamed("doc_id", "rep"))
+    roots = {x.fp: x.root for x in minhash.by_simhash(made, copies, 5, 0.8, 16, 3).collect()}
+    linked = [i for i in range(40) if roots.get(2 * i, 2 * i) == roots.get(2 * i + 1, 2 * i + 1)]
+    assert sum(i < 20 for i in linked) >= 18 and len(linked) < 40
+    assert all(f >> 1 == t >> 1 for f, t in roots.items())
+    assert len({x.root for x in minhash.grouped(made).collect()}) == 40
+
+
 def test_exact_pairs(spark):
     """Of short near copies of one text all similar pairs are among the exact ones, whichever root is largest."""
     import random
